@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import look
+from vellum.llm import look, pieces, sentences
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,35 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look.alike_classes(stacked(spark, sf_dir, LOOKS))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of all prepared texts and of the chapters that sentence_check names; the texts themselves are not shuffled with copies."""
+    wanted = table(spark, sf_dir, "sentence_check").where("table_name = 'chapters_raw'").select("row_id").distinct()
+    chapters = table(spark, sf_dir, "chapters_raw").where("text is not null").select("row_id", "text").join(wanted, "row_id", "left_semi")
+    prepared = stacked(spark, sf_dir, {"tts_pipeline": "prepared"})
+    both = prepared.unionByName(chapters.select(F.lit("chapters_raw").alias("table_name"), "row_id", "text"))
+    return sentences.sentence_units(both, ["table_name", "row_id"], "text")
+
+
+def p2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of every chapter and every prepared text."""
+    both = stacked(spark, sf_dir, {"chapters_raw": "text", "tts_pipeline": "prepared"})
+    return sentences.sentence_units(both, ["table_name", "row_id"], "text")
+
+
+def limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = stacked(spark, sf_dir, {"chapter_inputs": "text", "tts_pipeline": "prepared"}, "lang")
+    return pieces.with_limits(both, table(spark, sf_dir, "split_limits"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(limited(spark, sf_dir), ["table_name", "row_id"], "text", "max_chars", "overlap_chars")
+
+
+def p3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts in pieces whose sizes are even and whose cuts are cheap as a whole."""
+    return pieces.pieces(limited(spark, sf_dir), ["table_name", "row_id"], "text", "max_chars", "overlap_chars", "total")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
