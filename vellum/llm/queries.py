@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import look, pieces, sentences
+from vellum.llm import look, pieces, sentences, sitelines
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,19 @@ def p3_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(limited(spark, sf_dir), ["table_name", "row_id"], "text", "max_chars", "overlap_chars", "total")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.occurrences(table(spark, sf_dir, "chapters_raw"))
+
+
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = sitelines.boilerplate(table(spark, sf_dir, "chapters_raw"))
+    return found.groupBy("site", "block").agg(F.count("*").alias("lines"), F.max("support").alias("support"))
+
+
+def p4_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitelines.removed(table(spark, sf_dir, "chapters_raw"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -12,7 +12,15 @@ def looks() -> str:
 
 def oracles() -> dict[str, str]:
     folded = f"SELECT table_name, row_id, t, {fold_sql('t')} AS f FROM ({looks()})"
+    parted = "list_concat([title], CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END)"
+    places = (
+        f"SELECT site, row_id, (i - 1)::INTEGER AS line_no, regexp_replace({fold_sql('l')}, '^[ \\n]+|[ \\n]+$', '', 'g') AS f FROM "
+        f"(SELECT site, row_id, unnest({parted}) AS l, generate_subscripts({parted}, 1) AS i FROM chapters_raw WHERE site IS NOT NULL) WHERE l IS NOT NULL"
+    )
     return {
+        "p4_found": f"WITH p AS (SELECT * FROM ({places}) WHERE f <> ''), s AS (SELECT site, count(*) AS n FROM chapters_raw WHERE site IS NOT NULL GROUP BY site), "
+        "c AS (SELECT p.site, f, count(DISTINCT row_id) AS k, any_value(n) AS n FROM p JOIN s ON p.site = s.site GROUP BY p.site, f) "
+        "SELECT row_id, line_no FROM p JOIN c ON p.site = c.site AND p.f = c.f WHERE k >= 5 AND k >= 0.05::DOUBLE * n",
         "p1_found": f"WITH x AS (SELECT * FROM ({folded}) WHERE regexp_matches(f, '[^ \\n]')) SELECT a.table_name, a.row_id AS row_a, b.row_id AS row_b FROM x a JOIN x b ON a.table_name = b.table_name AND a.f = b.f AND a.row_id < b.row_id AND a.t <> b.t",
         "p1_canonical": f"SELECT table_name, row_id, f AS look_text FROM (SELECT table_name, row_id, {fold_sql('t')} AS f FROM ({looks().replace('WHERE text IS NOT NULL', '').replace('WHERE ref_text IS NOT NULL', '')}))",
     }
