@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import look, pieces, sentences, sitelines
+from vellum.llm import look, mojibake, pieces, sentences, sitelines
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,14 @@ def p4_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.removed(table(spark, sf_dir, "chapters_raw"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_restored(spark, sf_dir).select("table_name", "row_id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(stacked(spark, sf_dir, {"chapters_raw": "text", "toc_entries": "title"}), ["table_name", "row_id"], "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
