@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import look, mojibake, pieces, sentences, sitelines
+from vellum.llm import look, mojibake, pieces, sentences, sitelines, tokens
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,15 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired(stacked(spark, sf_dir, {"chapters_raw": "text", "toc_entries": "title"}), ["table_name", "row_id"], "text")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encoded(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact round trip: every text from its ids, null as empty."""
+    return tokens.decoded(p6_ids(spark, sf_dir), "doc_id", "ids")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 

@@ -18,6 +18,7 @@ def oracles() -> dict[str, str]:
         f"(SELECT site, row_id, unnest({parted}) AS l, generate_subscripts({parted}, 1) AS i FROM chapters_raw WHERE site IS NOT NULL) WHERE l IS NOT NULL"
     )
     return {
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_found": f"WITH p AS (SELECT * FROM ({places}) WHERE f <> ''), s AS (SELECT site, count(*) AS n FROM chapters_raw WHERE site IS NOT NULL GROUP BY site), "
         "c AS (SELECT p.site, f, count(DISTINCT row_id) AS k, any_value(n) AS n FROM p JOIN s ON p.site = s.site GROUP BY p.site, f) "
         "SELECT row_id, line_no FROM p JOIN c ON p.site = c.site AND p.f = c.f WHERE k >= 5 AND k >= 0.05::DOUBLE * n",
