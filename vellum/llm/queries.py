@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import look, mojibake, pieces, sentences, sitelines, tokens
+from vellum.llm import leaks, look, mojibake, pieces, sentences, sitelines, tokens
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,10 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decoded(p6_ids(spark, sf_dir), "doc_id", "ids")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
