@@ -22,6 +22,8 @@ from vellum.llm.duck import map_sql
 from vellum.llm.look import fold_sql
 from vellum.session import written
 
+PART = "\ufdd0"
+
 
 def lines(df: DataFrame, row: str = "row_id", site: str = "site", title: str = "title", text: str = "text") -> DataFrame:
     """``site, row_id, line_no, rank, line``: the look digest of each line that is not blank, and its rank among those of its
@@ -29,11 +31,12 @@ def lines(df: DataFrame, row: str = "row_id", site: str = "site", title: str = "
 
     The blanks at both ends do not count. Lines are parted by LF or CR LF."""
     own = df.where(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.col(row).cast("long").alias("row_id"), F.col(title).alias("title"), F.col(text).alias("t"))
-    parted = "list_concat([title], CASE WHEN t IS NULL THEN [] ELSE string_split(t, chr(10)) END)"
+    # a whole text is folded at once: line ends become a noncharacter first, which the fold leaves alone
+    whole = f"concat(replace(coalesce(title, ''), '{PART}', ''), '{PART}', regexp_replace(replace(coalesce(t, ''), '{PART}', ''), '\\r?\\n', '{PART}', 'g'))"
     sql = (
         "SELECT site, row_id, (i - 1)::INTEGER AS line_no, (row_number() OVER (PARTITION BY row_id ORDER BY i))::INTEGER AS rank, unhex(md5(f)) AS line FROM ("
-        f"SELECT site, row_id, i, regexp_replace({fold_sql('l')}, '^[ \\n]+|[ \\n]+$', '', 'g') AS f FROM "
-        f"(SELECT site, row_id, unnest({parted}) AS l, generate_subscripts({parted}, 1) AS i FROM batch) WHERE l IS NOT NULL) WHERE f <> ''"
+        f"SELECT site, row_id, i, regexp_replace(l, '^[ \\n]+|[ \\n]+$', '', 'g') AS f FROM "
+        f"(SELECT site, row_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT site, row_id, string_split({fold_sql('w')}, '{PART}') AS ls FROM (SELECT site, row_id, {whole} AS w FROM batch)))) WHERE f <> ''"
     )
     return map_sql(own, sql, "site string, row_id long, line_no int, rank int, line binary")
 
