@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import leaks, look, mojibake, pieces, sentences, sitelines, tokens
+from vellum.llm import leaks, look, mojibake, pieces, sentences, sitelines, subjects, tokens
 from vellum.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "subject_labels")
+    found, _ = subjects.subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), labels)
+    return found.select("doc_id", "subject").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def p8_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's subjects with their shares and calibrated probabilities, labelled documents included."""
+    found, _ = subjects.subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
+    return found
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
