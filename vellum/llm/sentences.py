@@ -24,11 +24,11 @@ from vellum.llm.look import one_to_one
 LINE = re.compile("[^\n\r  ]+")
 GHOST = "⁠"  # stands for every character that cannot be seen, so that positions stay
 _UNSEEN = "\x00-\x08\x0e-\x1f\x7f-\x9f­͏؜᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻"
-ODD = re.compile(f"[{_UNSEEN}！-～｡-､Ͱ-ϿЀ-ӿ　⼀-⿕]")
+ODD = re.compile(f"[{_UNSEEN}Ａ-Ｚａ-ｚ０-９＂＇．｢｣､Ͱ-ϿЀ-ӿ]")
 
 OMIT = ".…⋯‥"
-FULL = "!?。।॥؟۔⁇⁈⁉‼"
-MARKS = re.compile(f"[{re.escape(OMIT + FULL)}]+(?:[    ]?[!?]+)*")
+FULL = "!?。।॥؟۔⁇⁈⁉‼！？｡"
+MARKS = re.compile(f"[{re.escape(OMIT + FULL)}]+(?:[    ]?[!?！？]+)*")
 PAIRS = dict(zip("“‘«‹「『（([｛{《〈【〔［", "”’»›」』）)]｝}》〉】〕］"))
 CLOSERS = {v: k for k, v in PAIRS.items()}
 QUOTES = set("“‘«‹「『\"")
@@ -134,7 +134,7 @@ def dot_ends(s: str, a: int, e: int) -> int:
         return 2 if blank or not ahead.isascii() else 0
     if ahead in ",;:，；：、":
         return 0
-    opens = ahead.isupper() or ahead in "“‘«\"「『(" or (ahead.isalpha() and not ahead.isascii() and not ahead.islower())
+    opens = ahead.isupper() or ahead in "“‘«\"「『(（" or (ahead.isalpha() and not ahead.isascii() and not ahead.islower())
     if low in NEVER_LAST:
         return 0
     if low in BEFORE_FIGURES:
@@ -145,7 +145,7 @@ def dot_ends(s: str, a: int, e: int) -> int:
         return 0
     if "." in low:  # an acronym with dots inside, or an address
         following = re.match(r"\w+", s[k : k + 20])
-        return 1 if opens and (ahead in "“‘«\"「『(" or (following and following.group().lower() in OPENERS_OF_SENTENCES)) else 0
+        return 1 if opens and (ahead in "“‘«\"「『(（" or (following and following.group().lower() in OPENERS_OF_SENTENCES)) else 0
     if ahead.islower() and len(low) <= 4:
         return 0
     return 1
