@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vellum.functions import udfs
 from vellum.functions.fields import synth_action
 from vellum.functions.text import chapter_id, ellipsis_pause, ellipsis_run, sha256
+from vellum.kernels.chars import SB
 
 MOST, LEAST, PAD_MS = 100, 15, 350
 CHAPTER_PAUSE, SECTION_PAUSE = 5, 3
@@ -47,7 +48,7 @@ def window_pauses(chunks: DataFrame, keys: list[str], text: str = "chapter_text"
     gap = F.substring(F.col(text), F.col("end") + 1, F.col("_n") - F.col("end"))
     x = x.withColumn("_gap", gap)
     broken = F.col("_gap").rlike("[\n]")
-    joined = F.col("_gap").contains("\n") & ~F.col("_gap").contains("") & ends_open("text") & ~symbol_gap("_gap")
+    joined = F.col("_gap").contains("\n") & ~F.col("_gap").contains(SB) & ends_open("text") & ~symbol_gap("_gap")
     wide = F.greatest(gap_pause("_gap"), F.when(symbol_gap("_gap"), SECTION_PAUSE), F.col("_h"))
     pause = F.when(F.col("_n").isNull() | (F.col("_n") < F.col("end")) | joined, 1).when(broken, wide).when(~ends_sentence("text"), 0).otherwise(gap_pause("_gap"))
     return x.withColumn("pause_multiplier", pause).drop("_n", "_h", "_gap")
