@@ -48,7 +48,7 @@ def chunk_spans(most: int = 100, least: int = 15):
 def chunked(text: str | None, headings, categories, most: int, least: int) -> list[dict]:
     spans = chunker.chunk_spans(text, most, least)
     known = dict(categories) if categories is not None else {}
-    rests = chunker.pauses(text or "", spans, headings if headings is not None else (), known)
+    rests = chunker.pauses(text or "", spans, list(headings) if headings is not None else (), known)
     breaks = chunker.section_breaks(text or "", spans)
     return [
         {"start": a, "end": b, "text": (sections.without_section_breaks(text[a:b]) or "").strip(), "section_break": s, "pause": p}
@@ -140,7 +140,7 @@ def repaired_case(text: pd.Series, context: pd.Series, headings: pd.Series) -> p
 
     def one(t, c, h):
         c = [w for w in (c if c is not None else ()) if w]
-        return caps.all_caps(caps.small_caps(t, c), c, h if h is not None else ())
+        return caps.all_caps(caps.small_caps(t, c), c, list(h) if h is not None else ())
 
     return pd.Series([one(*x) for x in zip(text, context, headings)], dtype=object)
 
@@ -160,7 +160,7 @@ def cleaned(removals: list[str], cutoffs: list[str]):
             kept, why = sections.cut_after(sections.clean_form(t), cut)
             kept, counts = sections.removed(kept, gone)
             words = [w for w in (c if c is not None else ()) if w]
-            kept = caps.all_caps(caps.small_caps(sections.clean_form(kept), words), words, h if h is not None else ())
+            kept = caps.all_caps(caps.small_caps(sections.clean_form(kept), words), words, list(h) if h is not None else ())
             out.append((kept, why, counts))
         return pd.DataFrame(out, columns=["text", "cutoff", "removed"])
 

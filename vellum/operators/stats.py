@@ -31,18 +31,43 @@ def series(values: Column) -> Column:
     return F.when(F.size(v) > 0, F.struct(*fields))
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float] = QUANTILES) -> DataFrame:
-    """The same percentiles for groups of any size: ranks by a count of equal values, so no group becomes an array.
+def exact_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float] = QUANTILES, widths: tuple[float, ...] = (10.0, 0.01)) -> DataFrame:
+    """The same statistics for groups of any size: (keys, n, min, p10 to p90, max, mean), unrounded.
 
-    Equal values are summed first, which bounds the sort by the distinct values of a group."""
+    Ranks are found by counts over a grid of values, then within the few cells they fall in over a finer grid, and last
+    among the distinct values of those finest cells. Every step is a sum with partial aggregation; windows run over
+    the cells of a group, whose number the bounds of the values and the widths limit, never over its rows."""
     from pyspark.sql import Window
 
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select(*keys, value, "_n", F.sum("_n").over(up).alias("_upto"), F.sum("_n").over(w).alias("_all"))
-    picks = [F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * F.lit(q)), F.col(value))).alias(k) for k, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(F.max("_all").alias("n"), F.min(value).alias("min"), *picks, F.max(value).alias("max"))
+    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    sums = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum("_v") / F.count("*")).alias("mean"))
+    ranks = sums.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("q"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank")) for k, q in quantiles.items()))).alias("_q"))
+    targets = ranks.select(*keys, "_q.q", "_q.rank")
+    cells: list[str] = []
+    for level, width in enumerate((*widths, None)):
+        cell = f"_c{level}"
+        x = x.withColumn(cell, F.floor(F.col("_v") / width) if width else F.col("_v"))
+        w = Window.partitionBy(*keys, *cells).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        if not keys + cells:
+            w = Window.partitionBy(F.lit(0)).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        within = x.join(targets.select(*keys, *cells).distinct(), [*keys, *cells], "left_semi") if cells else x
+        counts = within.groupBy(*keys, *cells, cell).agg(F.count("*").alias("_n"))
+        upto = counts.select(*keys, *cells, cell, F.sum("_n").over(w).alias("_upto"), "_n")
+        on = [*keys, *cells]
+        pairs = targets.join(upto, on) if on else targets.crossJoin(upto)  # a handful of ranks against the cells
+        hit = pairs.where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
+        cells.append(cell)
+        targets = hit.select(*keys, *cells, "q", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"))
+    last = cells[-1]
+    picked = targets.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == k, F.col(last))).alias(k) for k in quantiles))
+    return sums.join(picked, keys) if keys else sums.join(picked, F.lit(True))
+
+
+def as_series(prefix: str) -> Column:
+    """The columns of ``exact_percentile`` as one rounded struct, with percentiles of exactly 0 replaced as in ``series``."""
+    c = lambda k: F.col(f"{prefix}.{k}")
+    at = [F.round(F.when(c(k) == 0, c("min") if q <= 0.5 else c("max")).otherwise(c(k)), 3).alias(k) for k, q in QUANTILES.items()]
+    return F.when(c("n").isNotNull(), F.struct(c("n"), F.round(c("min"), 3).alias("min"), *at, F.round(c("max"), 3).alias("max"), F.round(c("mean"), 3).alias("mean")))
 
 
 def boundary_filter(log: DataFrame, trigger: str = "gapless") -> DataFrame:
@@ -55,24 +80,23 @@ def boundary_filter(log: DataFrame, trigger: str = "gapless") -> DataFrame:
 def boundary_report(log: DataFrame, keys: list[str] | None = None, least: int = 200, trigger: str = "gapless") -> DataFrame:
     """Counts, coverage, pads, three series and the recommended change of the pad, for the whole log or each key.
 
-    The series are arrays of numbers of one group; for groups beyond memory ``exact_percentile`` gives the same figures."""
-    keys = keys or []
-    total = log.groupBy(*keys).agg(F.count("*").alias("samples_total"))
-    sums = boundary_filter(log, trigger).groupBy(*keys).agg(
-        F.count("*").alias("samples_filtered"),
-        F.count("corrected_ms").alias("samples_with_output_latency"),
-        F.sort_array(F.collect_set("pad_ms")).alias("pad_ms_values"),
-        series(F.collect_list("delta_ms")).alias("delta_ms"),
-        series(F.collect_list("output_latency_ms")).alias("output_latency_ms"),
-        series(F.collect_list("corrected_ms")).alias("corrected_delta_ms"),
-    )
-    out = total.join(sums, keys, "left") if keys else total.join(sums, F.lit(True), "left")
-    n, with_latency = F.coalesce("samples_filtered", F.lit(0)), F.coalesce("samples_with_output_latency", F.lit(0))
+    Nothing of a group is held as rows: pads are distinct values, percentiles come from counts over grids."""
+    keys = list(keys or [])
+    own = keys or ["_all"]
+    log = log if keys else log.withColumn("_all", F.lit(0))
+    kept = boundary_filter(log, trigger)
+    total = log.groupBy(*own).agg(F.count("*").alias("samples_total"))
+    sums = kept.groupBy(*own).agg(F.count("*").alias("filtered"), F.count("corrected_ms").alias("corrected"), F.sort_array(F.collect_set("pad_ms")).alias("pads"))
+    out = total.join(sums, own, "left")
+    for name, value in (("delta", "delta_ms"), ("latency", "output_latency_ms"), ("fixed", "corrected_ms")):
+        stats = exact_percentile(kept, own, value)
+        out = out.join(stats.select(*own, F.struct(*(c for c in stats.columns if c not in own)).alias(name)), own, "left")
+    n, with_latency = F.coalesce("filtered", F.lit(0)), F.coalesce("corrected", F.lit(0))
     coverage = F.when(n > 0, with_latency / n).otherwise(0.0)
     enough = (n >= least) & (coverage >= 0.8)
     return out.select(
         *keys, "samples_total", n.alias("samples_filtered"), with_latency.alias("samples_with_output_latency"), F.round(coverage, 4).alias("output_latency_coverage"),
-        F.coalesce("pad_ms_values", F.array().cast("array<int>")).alias("pad_ms_values"), "delta_ms", "output_latency_ms", "corrected_delta_ms",
-        F.when(enough, F.round(F.col("corrected_delta_ms.p50")).cast("int")).alias("recommended_pad_adjust_ms"),
+        F.coalesce("pads", F.array().cast("array<int>")).alias("pad_ms_values"), as_series("delta").alias("delta_ms"), as_series("latency").alias("output_latency_ms"),
+        as_series("fixed").alias("corrected_delta_ms"), F.when(enough, F.round(as_series("fixed")["p50"]).cast("int")).alias("recommended_pad_adjust_ms"),
         F.when(enough, "p50(delta_ms + output_latency_ms)").otherwise("insufficient_data").alias("basis"),
     )
