@@ -8,6 +8,7 @@ from vellum.functions import udfs
 from vellum.functions.fields import synth_action
 from vellum.functions.text import chapter_id, ellipsis_pause, ellipsis_run, sha256
 from vellum.kernels.chars import SB
+from vellum.session import spread
 
 MOST, LEAST, PAD_MS = 100, 15, 350
 CHAPTER_PAUSE, SECTION_PAUSE = 5, 3
@@ -15,7 +16,7 @@ CHAPTER_PAUSE, SECTION_PAUSE = 5, 3
 
 def built(chapters: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Chapters with their chunks: (…, chapter_id, text_sha256, chunks). A chapter without any chunk is left out."""
-    x = chapters.withColumns({"chapter_id": chapter_id("path", "chapter_index"), "text": udfs.speech_form("text")})
+    x = spread(chapters, "book_id", "chapter_index").withColumns({"chapter_id": chapter_id("path", "chapter_index"), "text": udfs.speech_form("text")})
     none = F.array().cast("array<string>")
     x = x.withColumn("chunks", udfs.chunks(most, least)("text", F.coalesce("headings", none), F.coalesce("heading_categories", F.create_map().cast("map<string,string>"))))
     return x.withColumn("text_sha256", sha256("text")).where(F.size("chunks") > 0)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vellum.functions import audio, fields, predicates, text, udfs
 from vellum.operators import chapters, cleaning, headings, lookups, manifest, progress, stats, timeline
 from vellum.plans import pipeline
-from vellum.session import table, written
+from vellum.session import spread, table, written
 from vellum.streaming import boundaries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks with their pauses, summed up by document."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", udfs.speech_form("text").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select("doc_id", udfs.speech_form("text").alias("text"))
     none = F.array().cast("array<string>")
     chunked = docs.select("doc_id", F.char_length("text").alias("chars"), udfs.chunks()("text", none, F.create_map().cast("map<string,string>")).alias("chunks"))
     return chunk_sums(chunked, "doc_id")
@@ -355,13 +355,13 @@ def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "chapter_inputs").where("text IS NOT NULL").select("row_id", F.posexplode(udfs.sentence_spans("text")).alias("idx", "s"))
+    spans = spread(table(spark, sf_dir, "chapter_inputs").where("text IS NOT NULL").select("row_id", "text"), "row_id").select("row_id", F.posexplode(udfs.sentence_spans("text")).alias("idx", "s"))
     return spans.select("row_id", "idx", "s.start", "s.end")
 
 
 @query()
 def repaired_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = raw(spark, sf_dir).where("text IS NOT NULL")
+    x = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("row_id", "text", "title", "headings"), "row_id")
     return x.select("row_id", text.sha256(udfs.repaired_case("text", F.array("title"), F.coalesce("headings", F.array().cast("array<string>")))).alias("sha"))
 
 
@@ -370,7 +370,7 @@ def repaired_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def speech_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "tts_pipeline").where("simplified IS NOT NULL")
+    chunks = spread(table(spark, sf_dir, "tts_pipeline").where("simplified IS NOT NULL").select("row_id", "simplified"), "row_id")
     return chunks.select("row_id", udfs.speech_pipeline(udfs.hanzi_table(spark))("simplified").alias("p")).select("row_id", "p.*")
 
 

@@ -65,6 +65,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, spread over them by hash of ``keys``; anything else as it is.
+
+    For work in Python on tables of one or a few files. Large tables are split by their size and never shuffled here."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
+
+
 _shipped: set[str] = set()
 
 
