@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm import shingles as S
-from vellum.session import written
+from vellum.session import spread, written
 
 SKETCH = 128
 FILTER_BITS = 24
@@ -120,7 +120,7 @@ def met(docs: DataFrame, key: str, text: str, bits, simplify: tuple[tuple[int, i
                 new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][t[new]]), pa.array(h[new].view("int64"))], ["doc_id", "value"])
 
-    return own.mapInArrow(run, "doc_id long, value long")
+    return spread(own, "doc_id").mapInArrow(run, "doc_id long, value long")
 
 
 def verified(pairs: DataFrame, share: float, simplify: tuple[tuple[int, int], ...]) -> DataFrame:

@@ -23,7 +23,7 @@ from functools import cache
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.duck import map_sql
-from vellum.session import written
+from vellum.session import spread, written
 
 # Letters drawn alike, each followed by its Latin letter.
 ALIKE = (
@@ -94,7 +94,7 @@ def canonical(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     own = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("t"))
     names = ", ".join(f"k{i}" for i in range(len(keys)))
     schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", look_text string"
-    out = map_sql(own, f"SELECT {names}, {fold_sql('t')} AS look_text FROM batch", schema)
+    out = map_sql(spread(own, "k0"), f"SELECT {names}, {fold_sql('t')} AS look_text FROM batch", schema)
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "look_text")
 
 
@@ -105,7 +105,7 @@ def look_keys(df: DataFrame, group: str, row: str, text: str) -> DataFrame:
         "SELECT group_key, row_id, unhex(md5(f)) AS look, unhex(md5(t)) AS raw FROM "
         f"(SELECT group_key, row_id, t, {fold_sql('t')} AS f FROM batch) WHERE regexp_matches(f, '[^ \\n]')"
     )
-    return map_sql(own, sql, "group_key string, row_id long, look binary, raw binary")
+    return map_sql(spread(own, "row_id"), sql, "group_key string, row_id long, look binary, raw binary")
 
 
 def alike_pairs(df: DataFrame, group: str = "table_name", row: str = "row_id", text: str = "text") -> DataFrame:

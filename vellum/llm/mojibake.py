@@ -26,6 +26,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vellum.session import spread
+
 #: Encodings a text may have been read with by mistake: one byte a character, then several bytes.
 READ_ONE = ("latin-1", "cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "cp1250")
 READ_MANY = ("gb18030", "big5hkscs", "cp950", "cp932", "cp949", "euc_jp")
@@ -359,4 +361,4 @@ def repaired(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(n)), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n)), "restored"])
 
     schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", restored string"
-    return own.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "restored")
+    return spread(own, *(f"k{i}" for i in range(n))).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "restored")

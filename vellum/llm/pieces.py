@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.sentences import LETTER, units
+from vellum.session import spread
 
 #: After these a piece may end where no unit ends.
 PAUSE = re.compile(r"[，、；：\s]")
@@ -121,7 +122,7 @@ def pieces(df: DataFrame, keys: list[str], text: str, limit: str, overlap: str,
             yield pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(n)), "start_pos", "end_pos"])
 
     schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", start_pos int, end_pos int"
-    return own.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "start_pos", "end_pos")
+    return spread(own, *(f"k{i}" for i in range(n))).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "start_pos", "end_pos")
 
 
 def with_limits(df: DataFrame, limits: DataFrame) -> DataFrame:

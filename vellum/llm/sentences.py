@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.look import one_to_one
+from vellum.session import spread
 
 LINE = re.compile("[^\n\r  ]+")
 GHOST = "⁠"  # stands for every character that cannot be seen, so that positions stay
@@ -325,4 +326,4 @@ def sentence_units(df: DataFrame, keys: list[str], text: str) -> DataFrame:
             )
 
     schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", start_pos int, end_pos int"
-    return own.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "start_pos", "end_pos")
+    return spread(own, *(f"k{i}" for i in range(len(keys)))).mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "start_pos", "end_pos")

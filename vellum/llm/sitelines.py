@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vellum.llm.duck import map_sql
 from vellum.llm.look import fold_sql
-from vellum.session import written
+from vellum.session import spread, written
 
 PART = "\ufdd0"
 
@@ -38,7 +38,7 @@ def lines(df: DataFrame, row: str = "row_id", site: str = "site", title: str = "
         f"SELECT site, row_id, i, regexp_replace(l, '^[ \\n]+|[ \\n]+$', '', 'g') AS f FROM "
         f"(SELECT site, row_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT site, row_id, string_split({fold_sql('w')}, '{PART}') AS ls FROM (SELECT site, row_id, {whole} AS w FROM batch)))) WHERE f <> ''"
     )
-    return map_sql(own, sql, "site string, row_id long, line_no int, rank int, line binary")
+    return map_sql(spread(own, "row_id"), sql, "site string, row_id long, line_no int, rank int, line binary")
 
 
 def support(lines: DataFrame, rows: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from vellum.llm import shingles as S
 from vellum.llm.leaks import _tables, portions
 from vellum.llm.sentences import units
-from vellum.session import written
+from vellum.session import spread, written
 
 LABELLED = 20_000  # documents of the labelled sample at most
 BITS = 20
@@ -88,7 +88,7 @@ def features(docs: DataFrame, key: str, text: str, simplify: tuple[tuple[int, in
                 ]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, n), *lists], ["doc_id", "features", "sizes"])
 
-    return own.mapInArrow(run, "doc_id long, features array<int>, sizes array<int>")
+    return spread(own, "doc_id").mapInArrow(run, "doc_id long, features array<int>, sizes array<int>")
 
 
 def unfolded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -23,6 +23,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from vellum.session import spread
+
 #: Where the public vocabularies are; a parameter of every function that reads one.
 FOLDER = os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
@@ -163,7 +165,7 @@ def encoded(df: DataFrame, key: str, text: str, path: str = f"{FOLDER}/{BYTE_BPE
                 values = np.frombuffer(b"".join(lists), "<i4")
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["k", "ids"])
 
-    return own.mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
+    return spread(own, "k").mapInArrow(run, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
 
 
 def decoded(df: DataFrame, key: str, ids: str, path: str = f"{FOLDER}/{BYTE_BPE_50K}") -> DataFrame:
