@@ -12,7 +12,7 @@ every worker, so that corpus texts leave behind only values that some item has;
 value and counted by (text, item), with partial sums before the exchange. A phrase that many items share makes a
 value frequent, not a group: no task sees more than its share of sums.
 
-Defined cases: null, empty and blank texts and items match nothing; an item of fewer words than a shingle matches
+Defined cases: null, empty and blank texts and items match nothing, nor do rows with null ids; an item of fewer words than a shingle matches
 nothing; equal texts under several ids are each reported, as are equal items.
 """
 
@@ -69,7 +69,7 @@ def hashed(texts: list[str | None], simplify: tuple[tuple[int, int], ...]) -> tu
 
 def sketches(items: DataFrame, key: str, text: str, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
     """``item_id, value, size``: the values of every item's sketch, and how many they are."""
-    own = items.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("t"))
+    own = items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +104,7 @@ def filter_of(sketch: DataFrame) -> bytes:
 
 def met(docs: DataFrame, key: str, text: str, bits, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
     """``doc_id, value``: the shingle values of each text that the filter lets through."""
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(bits.value, "uint8")).view(bool)

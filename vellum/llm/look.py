@@ -11,7 +11,7 @@
 Case, simplified against traditional form, raised and circled figures and all other visible marks are kept.
 
 Defined cases: a null text has a null look; an empty or blank text has a look but takes part in no pair;
-equal strings are never a pair; ties do not arise, since a pair is ordered by row id. Extra columns of the
+equal strings are never a pair; rows with null ids take part in none; ties do not arise, since a pair is ordered by row id. Extra columns of the
 input, whatever their names, are dropped before any work.
 """
 
@@ -100,7 +100,7 @@ def canonical(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def look_keys(df: DataFrame, group: str, row: str, text: str) -> DataFrame:
     """``group_key, row_id, look, raw``: 128-bit digests of the look and of the string, without null and blank texts."""
-    own = df.where(F.col(text).isNotNull()).select(F.col(group).alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(text).alias("t"))
+    own = df.where(F.col(text).isNotNull() & F.col(row).isNotNull()).select(F.col(group).alias("group_key"), F.col(row).cast("long").alias("row_id"), F.col(text).alias("t"))
     sql = (
         "SELECT group_key, row_id, unhex(md5(f)) AS look, unhex(md5(t)) AS raw FROM "
         f"(SELECT group_key, row_id, t, {fold_sql('t')} AS f FROM batch) WHERE regexp_matches(f, '[^ \\n]')"

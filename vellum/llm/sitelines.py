@@ -9,7 +9,7 @@ The nodes kept of a site number at most (mean lines of a row) / share, a bound b
 the size of the site, so the components are found site by site; everything before is sums and joins with partial
 aggregation, keyed by site and line, so that a site with a third of all rows is spread over all tasks.
 
-Defined cases: rows with null site take no part; null titles and texts have no line, but their rows count for the
+Defined cases: rows with null site or id take no part; null titles and texts have no line, but their rows count for the
 site; blank lines are none; a line that returns within a row counts once for support and is reported each time.
 """
 
@@ -30,7 +30,7 @@ def lines(df: DataFrame, row: str = "row_id", site: str = "site", title: str = "
     row; line 0 is the title.
 
     The blanks at both ends do not count. Lines are parted by LF or CR LF."""
-    own = df.where(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.col(row).cast("long").alias("row_id"), F.col(title).alias("title"), F.col(text).alias("t"))
+    own = df.where(F.col(site).isNotNull() & F.col(row).isNotNull()).select(F.col(site).alias("site"), F.col(row).cast("long").alias("row_id"), F.col(title).alias("title"), F.col(text).alias("t"))
     # a whole text is folded at once: line ends become a noncharacter first, which the fold leaves alone
     whole = f"concat(replace(coalesce(title, ''), '{PART}', ''), '{PART}', regexp_replace(replace(coalesce(t, ''), '{PART}', ''), '\\r?\\n', '{PART}', 'g'))"
     sql = (

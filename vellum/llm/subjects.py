@@ -15,7 +15,7 @@ and written; what follows reads them.
 
 What goes to the workers is the weight table, at most ``1 << BITS`` rows whatever the corpus.
 
-Defined cases: null and blank texts, and texts without any sentence, give no row; labels are trimmed and compared
+Defined cases: null and blank texts, texts without any sentence and null ids give no row; labels are trimmed and compared
 without case, unknown ones are dropped, repeated ones count once; a subject without label is found nowhere; equal
 documents get equal subjects.
 """
@@ -54,7 +54,7 @@ def kind(text: str) -> int:
 
 def features(docs: DataFrame, key: str, text: str, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
     """``doc_id, features, sizes``: hashed features, sentence after sentence, and how many each sentence has."""
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(simplify)
@@ -138,6 +138,14 @@ def gathered(counted: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return table["bucket"].to_numpy("int64"), table[[f"n{c}" for c in range(k)]].to_numpy("float64")
 
 
+def by_kind(bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The totals of each kind of script, zeros where a table is empty."""
+    out = np.zeros((3, n.shape[1]))
+    for b, row in zip(bucket[bucket < 0], n[bucket < 0]):
+        out[-1 - b] = row
+    return out
+
+
 def counts_schema(k: int) -> str:
     return "bucket int, " + ", ".join(f"n{c} double" for c in range(k))
 
@@ -170,7 +178,7 @@ def from_labels(featured: DataFrame, labels: DataFrame, k: int) -> tuple[np.ndar
         yield counts_batch(acc, totals)
 
     bucket, n = gathered(featured.join(F.broadcast(labels), "doc_id").select("features", "sizes", "mask").mapInArrow(run, counts_schema(k + 1)), k + 1)
-    docs = n[bucket < 0][::-1]
+    docs = by_kind(bucket, n)
     bucket, n = bucket[bucket >= 0], n[bucket >= 0]
     part = bucket >> PART_BITS
     held, total = n[:, :k], n[:, k:]
@@ -210,7 +218,7 @@ def expected(featured: DataFrame, weights, k: int, first: bool) -> tuple[np.ndar
         yield counts_batch(acc, totals)
 
     bucket, n = gathered(featured.select("features", "sizes").mapInArrow(run, counts_schema(k + 1)), k + 1)
-    return bucket[bucket >= 0], n[bucket >= 0], n[bucket < 0][::-1]
+    return bucket[bucket >= 0], n[bucket >= 0], by_kind(bucket, n)
 
 
 def maximized(bucket: np.ndarray, n: np.ndarray, sentences: np.ndarray, k: int, complement: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -262,7 +270,7 @@ def calibration(found: DataFrame, sample: DataFrame, k: int) -> tuple[float, flo
     x, y, n = (rows[c].to_numpy("float64") for c in "xyn")
     x = np.log(np.maximum(x, 0.01) / SHARE)
     a, b = 1.0, 0.0
-    for _ in range(25):
+    for _ in range(25 if len(x) else 0):
         p = 1 / (1 + np.exp(-(a * x + b)))
         g = np.array([((y - n * p) * x).sum() - 1e-3 * a, (y - n * p).sum() - 1e-3 * b])
         w = n * p * (1 - p)
