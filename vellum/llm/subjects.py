@@ -10,7 +10,7 @@ and written; what follows reads them.
    or to none, and features are counted by these posteriors, so that words used in passing, or in a figure of
    speech that any document has, lose their weight.
 3. The last step scores each subject against its complement, independently of the others: a document has a subject
-   when at least ``SHARE`` of its sentences have a posterior above one half. On the labelled sample a logistic
+   when at least ``SHARE`` of its sentences have a posterior above one half, and above that of no subject. On the labelled sample a logistic
    calibration turns the share into the probability that a labeller names the subject.
 
 What goes to the workers is the weight table, at most ``1 << BITS`` rows whatever the corpus.
@@ -43,11 +43,12 @@ SHARE = 1 / 6
 ROUNDS = 2  # of expectation-maximization before the last step
 SMOOTH = 0.05
 KANA = re.compile("[぀-ヿ]+")
+WIDE = re.compile("[Ａ-Ｚａ-ｚ０-９]+")
 
 
 def kind(text: str) -> int:
     """0 for alphabets, 1 for Japanese, 2 for other scripts."""
-    if len(text.encode("ascii", "ignore")) > 0.6 * len(text):
+    if len(text.encode("ascii", "ignore")) + sum(map(len, WIDE.findall(text))) > 0.6 * len(text):
         return 0
     return 1 if sum(map(len, KANA.findall(text))) > 0.15 * len(text) else 2
 
@@ -222,7 +223,7 @@ def expected(featured: DataFrame, weights, k: int, first: bool) -> tuple[np.ndar
 
 
 def maximized(bucket: np.ndarray, n: np.ndarray, sentences: np.ndarray, k: int, complement: bool) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Weights and priors from expected counts: of all classes, or of each subject against its complement."""
+    """Weights and priors from expected counts: of all classes, or of each subject against its complement followed by all classes."""
     part = bucket >> PART_BITS
     size = np.maximum(1, np.bincount(part, minlength=3))[part][:, None]
     of_class = np.stack([n[part == p].sum(0) for p in range(3)])[part]
@@ -232,8 +233,8 @@ def maximized(bucket: np.ndarray, n: np.ndarray, sentences: np.ndarray, k: int,
         return (bucket, log_p.astype("float32")), np.log(prior)
     rest, of_rest = n.sum(1, keepdims=True) - n, of_class.sum(1, keepdims=True) - of_class
     weight = log_p - np.log((rest + SMOOTH) / (of_rest + SMOOTH * size))
-    prior = np.clip(prior[:, :k], 1e-9, 1 - 1e-9)
-    return (bucket, weight[:, :k].astype("float32")), np.log(prior / (1 - prior))
+    alone = np.clip(prior[:, :k], 1e-9, 1 - 1e-9)
+    return (bucket, np.hstack([weight[:, :k], log_p]).astype("float32")), np.hstack([np.log(alone / (1 - alone)), np.log(prior)])
 
 
 def shares(featured: DataFrame, weights, k: int, least: float) -> DataFrame:
@@ -248,7 +249,8 @@ def shares(featured: DataFrame, weights, k: int, least: float) -> DataFrame:
             if not n:
                 continue
             s, _, has = scores(table, prior, values, sentence, n)
-            about = (s > 0) & has[:, None]
+            # more likely than not against all other classes together, and likelier than no subject at all
+            about = (s[:, :k] > 0) & (s[:, k : 2 * k] > s[:, 2 * k :]) & has[:, None]
             share = np.stack([np.bincount(doc, weights=about[:, c], minlength=batch.num_rows) for c in range(k)], 1) / np.maximum(1, per_doc)[:, None]
             d, c = np.nonzero((share >= least - 1e-9) & (share > 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(c.astype("int32")), pa.array(share[d, c])], ["doc_id", "subject_no", "share"])
