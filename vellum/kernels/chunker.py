@@ -149,8 +149,7 @@ def quote_units(text: str, spans: Sequence[Span], most: int) -> list[tuple[int,
     if not quotes:
         return [(a, b, False) for a, b in spans]
     cuts = sorted({x for q in quotes for x in q})
-    # the longest quote around a piece: outermost quotes come first when sorted by (start, -end)
-    nest = sorted(quotes, key=lambda q: (q[0], -q[1]))
+    begins = [q[0] for q in quotes]
     units: list[list] = []
     for a, b in spans:
         points = [a, *cuts[bisect_right(cuts, a) : bisect_left(cuts, b)], b]
@@ -162,7 +161,7 @@ def quote_units(text: str, spans: Sequence[Span], most: int) -> list[tuple[int,
             elif piece:
                 pieces.append(piece)
         for piece in pieces:
-            around = [q for q in nest[: bisect_right(nest, (piece[0], 1))] if q[1] >= piece[1]]
+            around = [q for q in quotes[: bisect_right(begins, piece[0])] if q[1] >= piece[1]]
             quote = max(around, key=lambda q: (q[1] - q[0], -q[0]), default=None)
             if units and quote is not None and units[-1][2] == quote:
                 units[-1][1] = piece[1]
