@@ -100,7 +100,7 @@ def unfolded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return values, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(batch.num_rows), per_doc), per_doc
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -109,10 +109,10 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 def scores(weights: tuple[np.ndarray, np.ndarray], prior: np.ndarray, values: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
     """Sum of the weights of each sentence's features, and the prior of its kind of script."""
     place, table = weights
-    out = np.zeros((n, table.shape[1]))
+    out = np.zeros((n, len(table)))
     rows = place[values]
-    for c in range(table.shape[1]):
-        out[:, c] = np.bincount(sentence, weights=table[rows, c], minlength=n)
+    for c, weight in enumerate(table):
+        out[:, c] = np.bincount(sentence, weights=weight[rows], minlength=n)
     first = np.searchsorted(sentence, np.arange(n))
     has = np.bincount(sentence, minlength=n) > 0
     parts = np.full(n, 2)
@@ -121,11 +121,11 @@ def scores(weights: tuple[np.ndarray, np.ndarray], prior: np.ndarray, values: np
 
 
 def placed(model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sparse table as a place for each bucket, the last row (of zeros) for unknown ones, and its rows."""
+    """The sparse table as a place for each bucket, the last one (of zeros) for unknown ones, and its columns."""
     buckets, table = model
     place = np.full(1 << BITS, len(buckets), "int32")
     place[buckets] = np.arange(len(buckets))
-    return place, np.vstack([table, np.zeros((1, table.shape[1]), "float32")]).astype("float32")
+    return place, np.ascontiguousarray(np.vstack([table, np.zeros((1, table.shape[1]), "float32")]).T, dtype="float32")
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -172,8 +172,8 @@ def from_labels(featured: DataFrame, labels: DataFrame, k: int) -> tuple[np.ndar
             of = doc[sentence]
             pairs = np.unique(of * (1 << BITS) + values)
             d, v = pairs >> BITS, pairs & ((1 << BITS) - 1)
-            for c in range(k + 1):
-                acc[:, c] += np.bincount(v[named[d, c]], minlength=1 << BITS).astype("float32")
+            known, at = np.unique(v, return_inverse=True)
+            acc[known] += np.stack([np.bincount(at[named[d, c]], minlength=len(known)) for c in range(k + 1)], 1)
             d, first = np.unique(of, return_index=True)
             np.add.at(totals, values[first] >> PART_BITS, named[d].astype(float))
         yield counts_batch(acc, totals)
@@ -213,8 +213,8 @@ def expected(featured: DataFrame, weights, k: int, first: bool) -> tuple[np.ndar
                 post[np.arange(n), np.where(clear, s.argmax(1), k)] = 1
             else:
                 post = softmax(s)
-            for c in range(k + 1):
-                acc[:, c] += np.bincount(values, weights=post[sentence, c], minlength=1 << BITS)
+            known, at = np.unique(values, return_inverse=True)  # sums over the features of the slice, not over the whole table
+            acc[known] += np.stack([np.bincount(at, weights=post[sentence, c], minlength=len(known)) for c in range(k + 1)], 1)
             np.add.at(totals, parts[has], post[has])
         yield counts_batch(acc, totals)
 
