@@ -9,13 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
-def arrow_udf(schema: str) -> Callable[[Callable], Callable[..., Column]]:
-    """Like ``pandas_udf`` with a schema string, but bound to the session of each use."""
+def arrow_udf(schema: str, once: bool = False) -> Callable[[Callable], Callable[..., Column]]:
+    """Like ``pandas_udf`` with a schema string, but bound to the session of each use.
+
+    ``once`` marks a costly function as not deterministic: a filter on its result then does not run it a second time."""
 
     def wrap(f: Callable) -> Callable[..., Column]:
         @wraps(f)
         def call(*columns: Column | str) -> Column:
-            return pandas_udf(f, schema)(*columns)
+            made = pandas_udf(f, schema)
+            return (made.asNondeterministic() if once else made)(*columns)
 
         return call
 

@@ -121,7 +121,7 @@ def otsu_threshold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: otsu(np.asarray(v, "float64")) if v is not None else None)
 
 
-@arrow_udf("active_db double, peak_db double")
+@arrow_udf("active_db double, peak_db double", once=True)
 def speech_level(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
     """The level of active speech and the peak of each signal."""
     return pd.DataFrame([active_level(np.asarray(s), int(r)) if s is not None else (None, None) for s, r in zip(samples, rate)], columns=["active_db", "peak_db"])

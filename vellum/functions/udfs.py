@@ -56,12 +56,13 @@ def chunked(text: str | None, headings, categories, most: int, least: int) -> li
     ]
 
 
-def chunks(most: int = 100, least: int = 15):
-    """The chunks of a chapter with their texts, section breaks and pauses, from (text, headings, heading categories)."""
+def chapter_chunks(most: int = 100, least: int = 15):
+    """A chapter in its speech form with its chunks, section breaks and pauses, from (text, headings, heading categories)."""
 
-    @arrow_udf(CHUNK)
-    def f(text: pd.Series, headings: pd.Series, categories: pd.Series) -> pd.Series:
-        return pd.Series([chunked(t, h, c, most, least) for t, h, c in zip(text, headings, categories)], dtype=object)
+    @arrow_udf(f"text string, chunks {CHUNK}", once=True)
+    def f(text: pd.Series, headings: pd.Series, categories: pd.Series) -> pd.DataFrame:
+        forms = text.map(sections.speech_form)
+        return pd.DataFrame({"text": forms, "chunks": [chunked(t, h, c, most, least) for t, h, c in zip(forms, headings, categories)]})
 
     return f
 
@@ -122,7 +123,7 @@ def simplified(table: dict[int, int]):
 def speech_pipeline(table: dict[int, int], add_marks: bool = True):
     """(simplified, after_numbers, prepared) of each chunk."""
 
-    @arrow_udf("simplified string, after_numbers string, prepared string")
+    @arrow_udf("simplified string, after_numbers string, prepared string", once=True)
     def f(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([speech.pipeline(t, table, add_marks) for t in text], columns=["simplified", "after_numbers", "prepared"])
 
@@ -148,7 +149,7 @@ def repaired_case(text: pd.Series, context: pd.Series, headings: pd.Series) -> p
 def cleaned(removals: list[str], cutoffs: list[str]):
     """One chapter through the cleaning steps: (text, cutoff reason, removals of each pattern) from (text, context, headings)."""
 
-    @arrow_udf("text string, cutoff string, removed map<string,int>")
+    @arrow_udf("text string, cutoff string, removed map<string,int>", once=True)
     def f(text: pd.Series, context: pd.Series, headings: pd.Series) -> pd.DataFrame:
         cut = [re.compile(p, re.I | re.M) for p in cutoffs]
         gone = [re.compile(p, re.I | re.M) for p in removals]
@@ -167,7 +168,7 @@ def cleaned(removals: list[str], cutoffs: list[str]):
     return f
 
 
-@arrow_udf("text string, title string, headings array<struct<text:string,category:string>>, links array<struct<href:string,label:string>>, note_ids array<string>, note_targets array<string>")
+@arrow_udf("text string, title string, headings array<struct<text:string,category:string>>, links array<struct<href:string,label:string>>, note_ids array<string>, note_targets array<string>", once=True)
 def page(content: pd.Series) -> pd.DataFrame:
     """All that is taken from a page by itself: parsed once for each part, none of them kept across rows."""
     out = []

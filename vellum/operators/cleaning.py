@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vellum.functions import udfs
 from vellum.functions.predicates import CUTOFFS, DROP_TITLES, FLAGS, first_match
 from vellum.functions.text import rstrip
+from vellum.session import spread
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def cleaned_chapters(chapters: DataFrame, books: DataFrame, rules: Rules | None
     meta = books.groupBy("book_id").agg(F.max_by(F.struct(F.col("title").alias("t"), F.col("authors").alias("a")), F.coalesce("created_unix", F.lit(0))).alias("_m"))
     why = first_match("title", rules.drop_titles)
     x = chapters.withColumn("drop_reason", F.when(why != "", why).when(F.col("text").isNull(), "missing_raw").otherwise("")).join(meta, "book_id", "left")
-    kept = x.where("drop_reason = ''").withColumn("_w", context_words(F.col("_m.t"), F.col("_m.a"), F.col("title")))
+    kept = spread(x.where("drop_reason = ''"), "book_id", "chapter_index").withColumn("_w", context_words(F.col("_m.t"), F.col("_m.a"), F.col("title")))
     kept = kept.withColumn("_c", udfs.cleaned(rules.removals, rules.cutoffs)("text", "_w", "headings"))
     raw_chars = F.char_length("text").alias("raw_chars")
     keys = ["row_id", "book_id", "chapter_index", "title", "headings", "heading_categories"]

@@ -16,10 +16,11 @@ CHAPTER_PAUSE, SECTION_PAUSE = 5, 3
 
 def built(chapters: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Chapters with their chunks: (…, chapter_id, text_sha256, chunks). A chapter without any chunk is left out."""
-    x = spread(chapters, "book_id", "chapter_index").withColumns({"chapter_id": chapter_id("path", "chapter_index"), "text": udfs.speech_form("text")})
-    none = F.array().cast("array<string>")
-    x = x.withColumn("chunks", udfs.chunks(most, least)("text", F.coalesce("headings", none), F.coalesce("heading_categories", F.create_map().cast("map<string,string>"))))
-    return x.withColumn("text_sha256", sha256("text")).where(F.size("chunks") > 0)
+    x = spread(chapters, "book_id", "chapter_index").withColumn("chapter_id", chapter_id("path", "chapter_index"))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    x = x.withColumn("_c", udfs.chapter_chunks(most, least)("text", F.coalesce("headings", none), F.coalesce("heading_categories", empty)))
+    x = x.withColumns({"text": F.col("_c.text"), "chunks": F.col("_c.chunks")}).drop("_c").where(F.size("chunks") > 0)
+    return x.withColumn("text_sha256", sha256("text"))
 
 
 def exploded(manifest: DataFrame, *keep: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 RATE = (0.95, 1.05)
 DELTA = (-5000.0, 5000.0)
 LATENCY = (0.0, 5000.0)
+SERIES = {"delta": "delta_ms", "latency": "output_latency_ms", "fixed": "corrected_ms"}
 QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
 
@@ -88,9 +89,11 @@ def boundary_report(log: DataFrame, keys: list[str] | None = None, least: int =
     total = log.groupBy(*own).agg(F.count("*").alias("samples_total"))
     sums = kept.groupBy(*own).agg(F.count("*").alias("filtered"), F.count("corrected_ms").alias("corrected"), F.sort_array(F.collect_set("pad_ms")).alias("pads"))
     out = total.join(sums, own, "left")
-    for name, value in (("delta", "delta_ms"), ("latency", "output_latency_ms"), ("fixed", "corrected_ms")):
-        stats = exact_percentile(kept, own, value)
-        out = out.join(stats.select(*own, F.struct(*(c for c in stats.columns if c not in own)).alias(name)), own, "left")
+    # the three series are one long table, so that the grid is walked once
+    long = kept.select(*own, F.explode(F.create_map(*(x for k, v in SERIES.items() for x in (F.lit(k), F.col(v))))).alias("_series", "_value"))
+    stats = exact_percentile(long, [*own, "_series"], "_value")
+    fields = F.struct(*(c for c in stats.columns if c not in (*own, "_series")))
+    out = out.join(stats.groupBy(*own).agg(*(F.first(F.when(F.col("_series") == k, fields), ignorenulls=True).alias(k) for k in SERIES)), own, "left")
     n, with_latency = F.coalesce("filtered", F.lit(0)), F.coalesce("corrected", F.lit(0))
     coverage = F.when(n > 0, with_latency / n).otherwise(0.0)
     enough = (n >= least) & (coverage >= 0.8)

@@ -93,7 +93,7 @@ def probe(data: bytes) -> tuple[bool, int]:
         return False, 0
 
 
-@arrow_udf("valid boolean, duration_ms bigint")
+@arrow_udf("valid boolean, duration_ms bigint", once=True)
 def probed(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([probe(bytes(b)) if b is not None else (False, 0) for b in content], columns=["valid", "duration_ms"])
 
