@@ -135,6 +135,12 @@ def with_restored(chapters: DataFrame, restored: DataFrame, keys: list[str]) ->
     return reindexed(both, keys, ["source_index", "_old"]).drop("_old")
 
 
+def unique_slugs(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
+    """Slugs made different: from the second of a kind on with its number."""
+    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
+    return df.withColumn("_n", n).withColumn(slug, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+
+
 def cover_choice(images: DataFrame, keys: list[str]) -> DataFrame:
     """One cover a book: named by the package, then as a property, then called so, then the largest; ties by position."""
     called = F.lower(F.concat_ws(" ", "href", "id")).contains("cover")

@@ -33,9 +33,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks with their pauses, summed up by document."""
-    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id").select("doc_id", udfs.speech_form("text").alias("text"))
-    none = F.array().cast("array<string>")
-    chunked = docs.select("doc_id", F.char_length("text").alias("chars"), udfs.chunks()("text", none, F.create_map().cast("map<string,string>")).alias("chunks"))
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id")
+    cut = udfs.chapter_chunks()("text", F.array().cast("array<string>"), F.create_map().cast("map<string,string>"))
+    chunked = docs.select("doc_id", cut.alias("c")).select("doc_id", F.char_length("c.text").alias("chars"), "c.chunks")
     return chunk_sums(chunked, "doc_id")
 
 
@@ -238,10 +238,22 @@ def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).select("row_id", predicates.non_content("title").alias("non_content"), predicates.short_structural(t).alias("short_label"))
 
 
-@query()
+DOTS = "[.)．、]"
+STRUCTURAL_SQL = (
+    "regexp_matches(b, '^(第?[" + predicates.NUMERALS + "]+[" + predicates.UNITS + "]?|[" + predicates.NUMERALS + "]+" + DOTS + "?|[" + predicates.ROMAN + "]+" + DOTS + "?|[IVXLCDM]+" + DOTS + "?)$') AND length(t) BETWEEN 1 AND 40 AND length(b) <= 20 "
+    "OR lower(t) IN (" + ", ".join(f"'{x}'" for x in predicates.STRUCTURAL) + ") OR lower(b) IN (" + ", ".join(f"'{x}'" for x in predicates.STRUCTURAL) + ") "
+    "OR length(b) BETWEEN 1 AND 80 AND regexp_matches(b, '^(第?[" + predicates.NUMERALS + "]+[" + predicates.UNITS + "]|[" + predicates.NUMERALS + "]+([" + predicates.UNITS + "]|" + DOTS + ")|[" + predicates.ROMAN + "IVXLCDM]+([" + predicates.UNITS + "]|" + DOTS + "))')"
+)
+
+
+@query(
+    f"WITH x AS (SELECT row_id, {sql_spaced('coalesce(title, chr(32))')} AS t, regexp_replace(coalesce(title, ''), '{WS}', '', 'g') AS b, {sql_strip('coalesce(title, chr(32))')} AS s, coalesce(source, '') AS source, regexp_replace(coalesce(source, ''), '^.*/', '') AS name, "
+    f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r]'), lambda v: {sql_strip('v')}), lambda v: v <> '') AS l FROM chapters_raw), y AS (SELECT *, regexp_replace(name, '(.)\\.[^.]*$', '\\1') AS stem FROM x) "
+    f"SELECT row_id, {STRUCTURAL_SQL} AS structural, s = '' OR s = source OR s = name OR lower(s) = lower(stem) OR regexp_matches(lower(s), '\\.x?html$|^[a-z][0-9]+[a-z0-9]*$') AS filename, coalesce(len(l) = 1 AND length(l[1]) <= 80 AND {sql_spaced('l[1]')} = t, false) AS title_only FROM y"
+)
 def structural_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("title", F.lit(""))
-    return raw(spark, sf_dir).select("row_id", predicates.structural_title(t).alias("structural"), predicates.filename_like("title", "source").alias("filename"), predicates.title_only(t, F.coalesce("text", F.lit(""))).alias("title_only"))
+    return raw(spark, sf_dir).select("row_id", predicates.structural_title(t).alias("structural"), predicates.filename_like("title", "source").alias("filename"), F.coalesce(predicates.title_only(t, F.coalesce("text", F.lit(""))), F.lit(False)).alias("title_only"))
 
 
 @query(
