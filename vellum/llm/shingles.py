@@ -68,8 +68,7 @@ def tokens(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]) -> tu
     """(hash of each token, whether it is a character alone, the index of the text it is of), in order."""
     plain, alone = tables
     big = "﷐".join(t.replace("﷐", "") if t else "" for t in texts)
-    if _HAS_SEVERAL.search(big):
-        big = big.translate(_SEVERAL)
+    big = _HAS_SEVERAL.sub(lambda m: _SEVERAL[ord(m.group())], big)
     raw = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = raw == END
     low = np.minimum(raw, 0xFFFF)
