@@ -104,6 +104,7 @@ NEIGHBOURS = (
     (re.compile("[가-힣](?=[^\x00-\x7f가-힣])|(?<=[^\x00-\x7f가-힣])[가-힣]"), 0.7),
     (re.compile("(?<=[一-鿿])[À-ÿ](?=[一-鿿])"), 0.7),
 )
+HAN = re.compile("[㐀-鿿]+")
 NEAR = re.compile("[¡-ÿŒœŠšŽžŸΆ-ώЀ-џ가-힣]")
 
 _weights: dict[str, float] = {}
@@ -324,8 +325,9 @@ def repair_line(line: str, hint: tuple[str, str] | None = None) -> tuple[str, bo
             outer = pair
         now, found = again, True
     if not found and not lost:
-        whole = cost(rest)
-        lost = whole >= 6 and whole >= 0.5 * len(rest)
+        # nothing gives the text back, but it is garbled through and through; rare Han characters alone are no proof of it
+        whole, marks = cost(rest), cost(HAN.sub("", rest))
+        lost = (whole >= 6 and whole >= 0.5 * len(rest)) or (marks >= 2.5 and marks >= 0.2 * len(rest))
     return now, found or lost, outer
 
 
