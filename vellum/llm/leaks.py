@@ -36,6 +36,8 @@ SHARE = 0.33
 #: A pair is verified from this part of the share on its sketch, so that sampling misses none.
 SLACK = 0.5
 CHARS = 1_000_000
+#: Sketch values up to this number (20 bytes each) are broadcast.
+BROADCAST_VALUES = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +151,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     simplify = tuple(S.simplified(spark).items())
     sketch = written(sketches(items, item, text, simplify), "sketches")
     bits = spark.sparkContext.broadcast(filter_of(sketch))
-    shared = met(docs, doc, text, bits, simplify).join(sketch, "value").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    # sketches of a checked size go to the texts, so that a value many texts hold is no hot key; more are joined by value
+    side = F.broadcast(sketch) if sketch.count() <= BROADCAST_VALUES else sketch
+    shared = met(docs, doc, text, bits, simplify).join(side, "value").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     found = written(shared.where(F.col("n") >= F.lit(share * SLACK) * F.col("size")).select("doc_id", "item_id"), "leak-pairs")
     passages = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("passage"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
