@@ -28,7 +28,7 @@ _UNSEEN = "\x00-\x08\x0e-\x1f\x7f-\x9f­͏؜᠋-᠏​-‏‪-‮⁠-⁯︀-️
 ODD = re.compile(f"[{_UNSEEN}Ａ-Ｚａ-ｚ０-９＂＇．｢｣､Ͱ-ϿЀ-ӿ]")
 
 OMIT = ".…⋯‥"
-FULL = "!?。।॥؟۔⁇⁈⁉‼！？｡"
+FULL = "!?。।॥؟۔⁇⁈⁉‼！？｡።။។։།⸮﹒﹖﹗"
 MARKS = re.compile(f"[{re.escape(OMIT + FULL)}]+(?:[    ]?[!?！？]+)*")
 PAIRS = dict(zip("“‘«‹「『（([｛{《〈【〔［", "”’»›」』）)]｝}》〉】〕］"))
 CLOSERS = {v: k for k, v in PAIRS.items()}
