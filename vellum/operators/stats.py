@@ -40,28 +40,24 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict
     the cells of a group, whose number the bounds of the values and the widths limit, never over its rows."""
     from pyspark.sql import Window
 
+    if not keys:
+        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, widths).drop("_all")
     x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sums = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum("_v") / F.count("*")).alias("mean"))
-    ranks = sums.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("q"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank")) for k, q in quantiles.items()))).alias("_q"))
-    targets = ranks.select(*keys, "_q.q", "_q.rank")
-    cells: list[str] = []
+    ranks = F.array(*(F.struct(F.lit(k).alias("q"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank")) for k, q in quantiles.items()))
+    targets = sums.select(*keys, F.explode(ranks).alias("_q")).select(*keys, "_q.q", "_q.rank")
+    on = list(keys)
     for level, width in enumerate((*widths, None)):
         cell = f"_c{level}"
         x = x.withColumn(cell, F.floor(F.col("_v") / width) if width else F.col("_v"))
-        w = Window.partitionBy(*keys, *cells).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
-        if not keys + cells:
-            w = Window.partitionBy(F.lit(0)).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
-        within = x.join(targets.select(*keys, *cells).distinct(), [*keys, *cells], "left_semi") if cells else x
-        counts = within.groupBy(*keys, *cells, cell).agg(F.count("*").alias("_n"))
-        upto = counts.select(*keys, *cells, cell, F.sum("_n").over(w).alias("_upto"), "_n")
-        on = [*keys, *cells]
-        pairs = targets.join(upto, on) if on else targets.crossJoin(upto)  # a handful of ranks against the cells
-        hit = pairs.where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-        cells.append(cell)
-        targets = hit.select(*keys, *cells, "q", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"))
-    last = cells[-1]
-    picked = targets.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == k, F.col(last))).alias(k) for k in quantiles))
-    return sums.join(picked, keys) if keys else sums.join(picked, F.lit(True))
+        within = x.join(targets.select(*on).distinct(), on, "left_semi") if level else x
+        counts = within.groupBy(*on, cell).agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*on).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+        hit = targets.join(counts.withColumn("_upto", upto), on).where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
+        on.append(cell)
+        targets = hit.select(*on, "q", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"))
+    picked = targets.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == k, F.col(on[-1]))).alias(k) for k in quantiles))
+    return sums.join(picked, keys)
 
 
 def as_series(prefix: str) -> Column:

@@ -105,7 +105,7 @@ def series_by_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT book_id, from_index, to_index, coalesce(nullif(trigger_kind, ''), 'auto') AS trigger_kind, coalesce(preloaded, false) AS preloaded, coalesce(chapter_switch, false) AS chapter_switch, round(delta_ms, 3) AS delta_ms, "
+    "SELECT book_id, from_index, to_index, coalesce(nullif(trigger_kind, ''), 'auto') AS trigger_kind, coalesce(preloaded, false) AS preloaded, coalesce(chapter_switch, false) AS chapter_switch, round(delta_ms, 3) + 0.0::DOUBLE AS delta_ms, "
     "greatest(0, coalesce(pad_ms, 0)) AS pad_ms, round(greatest(0.25, least(4.0, coalesce(nullif(playback_rate, 0), 1.0))), 3)::DOUBLE AS playback_rate, round(CASE WHEN output_latency_ms BETWEEN 0 AND 5000 THEN output_latency_ms END, 3) AS output_latency_ms, "
     "round(CASE WHEN base_latency_ms BETWEEN 0 AND 2000 THEN base_latency_ms END, 3) AS base_latency_ms, nullif(left(trim(audio_context_state), 32), '') AS audio_context_state FROM boundary_log "
     "WHERE from_index >= 0 AND to_index >= 0 AND delta_ms BETWEEN -5000 AND 5000"
