@@ -346,3 +346,27 @@ def test_audio(spark):
     assert one(spark, audio.frames(x, 2, 2)) == [[0.0, 1.0], [2.0, 3.0]] and one(spark, audio.frames(x, 9, 2)) == [[0.0, 1.0, 2.0, 3.0, 4.0]]
     assert len(one(spark, audio.silence(F.lit(1), F.lit(100)))) == 1 and one(spark, audio.silence(F.lit(0), F.lit(100))) == [] and one(spark, audio.sample_rate(F.lit(0), F.lit(8000))) == 8000
     assert one(spark, audio.cover_gradient(F.array(F.lit(100.0), F.lit(0.0), F.lit(255.0)))).dark == [82, 0, 209]
+
+
+def test_running_over_many_shares(spark):
+    from vellum.operators.running import running
+
+    rng = random.Random(9)
+    data = [(None if i % 97 == 0 else "hot" if i % 3 else f"k{i % 7}", rng.randrange(10**9), rng.randrange(-5, 9)) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, o long, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.o): (r.s, r.m, r._share) for r in _shares(running(df, ["k"], ["o"], {"s": F.col("v")}, {"m": F.col("v")})).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for key in {k for k, _, _ in data}:
+        total, most = 0, None
+        for _, o, v in sorted((x for x in data if x[0] == key), key=lambda x: x[1]):
+            want[(key, o)] = (total, most)
+            total, most = total + v, v if most is None else max(most, v)
+    assert {k: v[:2] for k, v in got.items()} == want
+
+
+def _shares(df):
+    return df.withColumn("_share", F.lit(0)) if "_share" not in df.columns else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.functions.predicates import filename_like, lines, short_structural, split_series, structural_title, title_only
 from vellum.functions.text import spaced, title_from_text
+from vellum.operators.running import running
 
 #: A following chapter that takes a bare title in has at least this text.
 LEAST_TEXT = 400
@@ -33,15 +34,16 @@ def continues(title: str = "title", source: str = "source", headings: str = "hea
 def merged_continuations(chapters: DataFrame, keys: list[str], order: str, starts: DataFrame | None = None) -> DataFrame:
     """Continuations joined with the chapter they go on from: islands over the book's order.
 
-    ``starts`` (keys, source) lists files that begin a chapter whatever they look like."""
+    Keys and ``order`` name a chapter; ``starts`` (keys, source) lists files that begin a chapter whatever they look like."""
     df = chapters
     if starts is not None:
         df = df.join(starts.select(*keys, "source").distinct().withColumn("_start", F.lit(True)), [*keys, "source"], "left")
     else:
         df = df.withColumn("_start", F.lit(None).cast("boolean"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    opens = F.when(F.row_number().over(w) == 1, 1).when(F.coalesce("_start", F.lit(False)), 1).when(continues(), 0).otherwise(1)
-    grouped = df.withColumn("_c", opens).withColumn("_g", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = F.when(F.coalesce("_start", F.lit(False)), 1).when(continues(), 0).otherwise(1)
+    marked = df.withColumn("_c", opens)
+    ids = running(marked.select(*keys, order, "_c"), keys, [order], {"_b": F.col("_c")}).select(*keys, order, (F.col("_b") + F.col("_c")).alias("_g"))
+    grouped = marked.join(ids, [*keys, order])
     head = F.min(F.struct(order, "title", "href", "source"))
     return grouped.groupBy(*keys, "_g").agg(head.alias("_h"), ordered_text("text", [order]).alias("text"), ordered_headings([order]).alias("headings"), F.count("*").alias("parts")).select(
         *keys, F.col(f"_h.{order}").alias(order), "_h.title", "_h.href", "_h.source", "text", "headings", "parts"
@@ -119,9 +121,13 @@ def chapter_title(*candidates: Column, href: Column, number: Column) -> Column:
     return F.coalesce(*usable, F.concat(F.lit("Chapter "), number.cast("string")))
 
 
-def reindexed(chapters: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Chapters numbered from 1 in order."""
-    return chapters.withColumn("chapter_index", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def reindexed(chapters: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> DataFrame:
+    """Chapters numbered from 1 in order. Where ``order`` is unique within a key, only it is sorted, not the texts."""
+    number = (F.col("_before") + 1).cast("int")
+    if not unique:
+        return running(chapters, keys, order, {"_before": F.lit(1)}).withColumn("chapter_index", number).drop("_before")
+    numbers = running(chapters.select(*keys, *order), keys, order, {"_before": F.lit(1)}).select(*keys, *order, number.alias("_number"))
+    return chapters.join(numbers, [*keys, *order]).withColumn("chapter_index", F.col("_number")).drop("_number")
 
 
 def without_chapter(chapters: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.functions.fields import voice_value
 from vellum.functions.text import href_file, re
+from vellum.operators.running import running
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -139,10 +140,9 @@ def enclosing(spans: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """The union of intervals: empty ones dropped, touching and overlapping ones joined."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.where(F.col(end) > F.col(start)).withColumn("_new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1)))
-    islands = opened.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    reached = running(df.where(F.col(end) > F.col(start)), keys, [start, end], maxima={"_reached": F.col(end)})
+    opened = reached.withColumn("_new", F.coalesce((F.col(start) > F.col("_reached")).cast("int"), F.lit(1)))
+    islands = running(opened, keys, [start, end], {"_before": F.col("_new")}).withColumn("_island", F.col("_before") + F.col("_new"))
     return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

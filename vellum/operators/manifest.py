@@ -32,9 +32,11 @@ def exploded(manifest: DataFrame, *keep: str) -> DataFrame:
 
 def with_chapter_pauses(chunks: DataFrame, keys: list[str], chapter: str, idx: str = "chunk_idx") -> DataFrame:
     """The last chunk of every chapter but a book's last pauses at least as long as between chapters."""
-    last_chunk = F.max(idx).over(Window.partitionBy(*keys, chapter)) == F.col(idx)
-    last_chapter = F.max(chapter).over(Window.partitionBy(*keys)) == F.col(chapter)
-    return chunks.withColumn("pause_multiplier", F.when(last_chunk & ~last_chapter, F.greatest("pause_multiplier", F.lit(CHAPTER_PAUSE))).otherwise(F.col("pause_multiplier")))
+    ends = chunks.groupBy(*keys, chapter).agg(F.max(idx).alias("_last"))
+    books = ends.groupBy(*keys).agg(F.max(chapter).alias("_end"))
+    x = chunks.join(ends, [*keys, chapter]).join(books, keys)
+    wider = (F.col(idx) == F.col("_last")) & (F.col(chapter) != F.col("_end"))
+    return x.withColumn("pause_multiplier", F.when(wider, F.greatest("pause_multiplier", F.lit(CHAPTER_PAUSE))).otherwise(F.col("pause_multiplier"))).drop("_last", "_end")
 
 
 def window_pauses(chunks: DataFrame, keys: list[str], text: str = "chapter_text") -> DataFrame:
@@ -84,5 +86,5 @@ def next_actions(chunks: DataFrame) -> DataFrame:
 
 def reset_sample(chunks: DataFrame, keys: list[str], chapter: str) -> DataFrame:
     """The first chapter of each book with its durations cleared, for a sample."""
-    first = F.min(chapter).over(Window.partitionBy(*keys))
-    return chunks.withColumn("_f", first).where(F.col(chapter) == F.col("_f")).drop("_f").withColumn("duration_ms", F.lit(None).cast("long"))
+    first = chunks.groupBy(*keys).agg(F.min(chapter).alias(chapter))
+    return chunks.join(first, [*keys, chapter], "left_semi").withColumn("duration_ms", F.lit(None).cast("long"))

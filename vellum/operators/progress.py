@@ -18,12 +18,13 @@ def chunk_rows(manifest: DataFrame, *keep: str) -> DataFrame:
 
 def progress(chunks: DataFrame, keys: list[str], order: list[str], duration: str = "duration_ms") -> DataFrame:
     """total, done, percent and the first pending chunk with its place in the whole; a duration of 0 is done, null is pending."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    placed = chunks.withColumn("global_index", F.row_number().over(w))
-    pending = F.struct(F.col("global_index"), *(F.col(o) for o in order))
-    return placed.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count(duration).alias("done"), F.min(F.when(F.col(duration).isNull(), pending)).alias("current")
-    ).withColumn("percent", F.round(100.0 * F.col("done") / F.col("total"), 2))
+    place = F.struct(*order)
+    first = chunks.where(F.col(duration).isNull()).groupBy(*keys).agg(F.min(place).alias("_first"))
+    sums = chunks.join(first, keys, "left").groupBy(*keys).agg(
+        F.count("*").alias("total"), F.count(duration).alias("done"), F.count(F.when(place <= F.col("_first"), 1)).cast("int").alias("_at"), F.first("_first").alias("_first")
+    )
+    current = F.when(F.col("_first").isNotNull(), F.struct(F.col("_at").alias("global_index"), *(F.col(f"_first.{o}").alias(o) for o in order)))
+    return sums.select(*keys, "total", "done", current.alias("current"), F.round(100.0 * F.col("done") / F.col("total"), 2).alias("percent"))
 
 
 def chunk_count(chunks: Column, spans: Column, durations: Column) -> Column:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions.text import re
+from vellum.operators.running import running
 
 
 def timeline(df: DataFrame, keys: list[str], order: list[str], duration: str) -> DataFrame:
     """``start_ms`` and ``end_ms`` of each chapter of a book; every chapter lasts at least 1 ms."""
     lasting = F.greatest(F.coalesce(F.col(duration).cast("long"), F.lit(0).cast("long")), F.lit(1).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(lasting).over(w)
-    return df.withColumns({"start_ms": (end - lasting).cast("long"), "end_ms": end.cast("long")})
+    placed = running(df, keys, order, {"start_ms": lasting})
+    return placed.withColumns({"start_ms": F.col("start_ms").cast("long"), "end_ms": (F.col("start_ms") + lasting).cast("long")})
 
 
 def metadata_escape(c: Column) -> Column:
@@ -44,10 +44,10 @@ def available_prefix(segments: DataFrame, keys: list[str], order: list[str], exi
     """The segments before the first missing one of each book.
 
     A missing segment that is meant to be silent (a duration of 0 or less) is passed over; any other ends the book."""
-    silent = ~F.col(exists) & (F.col(duration) <= 0)
-    stops = F.when(~F.col(exists) & ~F.coalesce(silent, F.lit(False)), 1).otherwise(0)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return segments.withColumn("_stops", F.sum(stops).over(w)).where((F.col("_stops") == 0) & F.col(exists)).drop("_stops")
+    place = F.struct(*order)
+    stops = ~F.col(exists) & ~F.coalesce(F.col(duration) <= 0, F.lit(False))
+    first = segments.where(stops).groupBy(*keys).agg(F.min(place).alias("_stop"))
+    return segments.where(exists).join(first, keys, "left").where(F.col("_stop").isNull() | (place < F.col("_stop"))).drop("_stop")
 
 
 def chapter_durations(segments: DataFrame, keys: list[str], duration: str = "duration_ms") -> DataFrame:

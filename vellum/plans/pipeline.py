@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.operators import chapters, cleaning, lookups, manifest, timeline
+from vellum.session import written
 
 
 def latest_delivery(raw: DataFrame) -> DataFrame:
@@ -14,8 +15,9 @@ def latest_delivery(raw: DataFrame) -> DataFrame:
 
 def sanitized(raw: DataFrame, books: DataFrame, rules: cleaning.Rules | None = None) -> DataFrame:
     """Clean chapters numbered anew, with the raw chapter each comes from."""
-    cleaned = cleaning.cleaned_chapters(latest_delivery(raw), books, rules).where("NOT dropped AND text IS NOT NULL AND trim(text) <> ''")
-    return chapters.reindexed(cleaned.withColumnRenamed("chapter_index", "source_index"), ["book_id"], ["source_index", "row_id"])
+    # written once: its order and its texts are read apart
+    cleaned = written(cleaning.cleaned_chapters(latest_delivery(raw), books, rules).where("NOT dropped AND text IS NOT NULL AND trim(text) <> ''"), "clean")
+    return chapters.reindexed(cleaned.withColumnRenamed("chapter_index", "source_index"), ["book_id"], ["source_index", "row_id"], unique=True)
 
 
 def chunk_table(clean: DataFrame, most: int = manifest.MOST, least: int = manifest.LEAST) -> DataFrame:
