@@ -68,7 +68,8 @@ def dominant_spelling(words: DataFrame, keys: list[str], order: str = "pos") ->
     """The leading spelling of each word by its small letters: more uses, then better case, then the earlier one."""
     counted = words.where(F.col("word").rlike(r"\p{Ll}")).groupBy(*keys, F.lower("word").alias("key"), "word").agg(F.count("*").alias("uses"), F.min(order).alias("first"))
     rank = F.when(F.col("word").rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~F.col("word").rlike(r"\p{Lu}"), 2).otherwise(1)
-    return counted.groupBy(*keys, "key").agg(F.max_by("word", F.struct("uses", rank.alias("rank"), -F.col("first"))).alias("spelling"))
+    best = F.max(F.struct("uses", rank.alias("rank"), (-F.col("first")).alias("early"), F.col("word").alias("spelling"))).alias("_b")
+    return counted.groupBy(*keys, "key").agg(best).select(*keys, "key", "_b.spelling", "_b.uses", "_b.rank")
 
 
 def section_marks(lines: DataFrame, keys: list[str]) -> DataFrame:

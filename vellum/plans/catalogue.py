@@ -170,7 +170,7 @@ def latest_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT row_id, {sql_strip(chr(39).join(['regexp_replace(regexp_replace(regexp_replace(' + sql_fold('text') + ', ', chr(92) + 'r' + chr(92) + 'n?', ', chr(10), ', 'g', '), ', '[ ' + chr(92) + 't]+' + chr(92) + 'n', ', chr(10), ', 'g', '), ', '[ ' + chr(92) + 't]{2,}', ', ', ' ', ', ', 'g', ')']))} || chr(10) AS text FROM chapters_raw")
 def clean_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir).select("row_id", text.clean_read("text").alias("text"))
+    return spread(raw(spark, sf_dir).select("row_id", "text"), "row_id").select("row_id", text.clean_read("text").alias("text"))
 
 
 @query("SELECT row_id, sha256(text) AS text_sha256 FROM chapters_raw")
@@ -199,7 +199,8 @@ REMOVE = ("No\\. ?[0-9]+", "编号[A-Za-z]+-")
 )
 def section_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, why = cleaning.cut_section(F.col("text"), list(CUT))
-    return raw(spark, sf_dir).where("text IS NOT NULL").select("row_id", why.alias("cutoff_reason"), kept.alias("text"))
+    x = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("row_id", "text"), "row_id")
+    return x.select("row_id", why.alias("cutoff_reason"), kept.alias("text"))
 
 
 @query(
@@ -277,11 +278,9 @@ def section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r AS (SELECT *, CASE WHEN regexp_matches(word, '^[A-Z].*[a-z]') THEN 3 WHEN NOT regexp_matches(word, '[A-Z]') THEN 2 ELSE 1 END AS rank FROM c) SELECT book_id, key, max(uses)::BIGINT AS uses, any_value(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY uses DESC, rank DESC) AS n FROM r) WHERE n = 1 GROUP BY book_id, key"
 )
 def dominant_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = raw(spark, sf_dir).where("text IS NOT NULL").select("book_id", F.col("row_id"), F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z'-]*)"), F.lit(1))).alias("p", "word"))
-    best = headings.dominant_spelling(words.withColumn("pos", F.col("row_id") * 1_000_000 + F.col("p")), ["book_id"])
-    counted = words.where("word RLIKE '[a-z]'").groupBy("book_id", F.lower("word").alias("key"), "word").agg(F.count("*").alias("uses"))
-    rank = F.when(F.col("word").rlike("^[A-Z].*[a-z]"), 3).when(~F.col("word").rlike("[A-Z]"), 2).otherwise(1)
-    return counted.join(best, ["book_id", "key"]).where("word = spelling").select("book_id", "key", "uses", rank.alias("rank"))
+    texts = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("book_id", "row_id", "text"), "row_id")
+    words = texts.select("book_id", F.col("row_id"), F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z'-]*)"), F.lit(1))).alias("p", "word"))
+    return headings.dominant_spelling(words.withColumn("pos", F.col("row_id") * 1_000_000 + F.col("p")), ["book_id"]).select("book_id", "key", "uses", "rank")
 
 
 @query(
