@@ -244,6 +244,20 @@ def test_leaks_across_scripts(spark):
     assert rows(leaks.leaks(d, spark.createDataFrame([(1, a)], "item_id long, text string")), "doc_id", "item_id") == [(1, 1)]
 
 
+def test_leaks_in_a_few_stretches_and_with_changed_words(spark):
+    item, zh = words(21, 63), "".join(chr(0x4E00 + random.Random(22).randrange(k, k + 3000)) for k in range(186))
+    filler = lambda s: words(s, 60)
+    docs = [
+        (1, " ".join(filler(1) + item[30:43] + filler(2) + item[5:18] + filler(3))),  # two fifths in two stretches
+        (2, zh[:25] + "。" + " ".join(filler(4)) + zh[60:85] + " ".join(filler(5)) + zh[120:145]),  # and in three
+        (3, " ".join(filler(6) + [x if (i + 1) % 7 else "changed" for i, x in enumerate(item)] + filler(7))),
+        (4, " ".join(y for k in range(0, 63, 7) for y in item[k : k + 7] + filler(100 + k))),  # phrases only
+        (5, " ".join(filler(8) + item[:12] + filler(9) + item[40:52])),  # less than two fifths
+    ]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, zh)], "item_id long, text string")
+    assert rows(leaks.leaks(d, t), "doc_id", "item_id") == [(1, 1), (2, 2), (3, 1)]
+
+
 # -- subjects ----------------------------------------------------------------------------------------------------
 
 TERMS = {"music": "violin chorus melody tempo anthem cello".split(), "law": "statute verdict appeal witness clause bailiff".split()}

@@ -5,7 +5,9 @@ classes by powers of two, and a class keeps the hashes below a bound that its si
 sketch of about ``SKETCH`` to twice as many values, and all of its hashes where it has fewer. A corpus text,
 however long, is asked for every one of those values at once: its whole shingle set is the other side, so an item
 within it is found by containment, where a signature of the long text would drown it. Pairs that share enough of a
-sketch are verified by the exact share of the item's shingles that the text holds.
+sketch are only candidates; they are decided by an alignment of the item's words with the text's: maximal equal runs
+of words are chained over a few changed words into stretches, and the few longest stretches must cover two fifths of
+the item. Stretches no longer than a phrase do not count.
 
 The values of all sketches also set bits of a filter of fixed size (``FILTER_BITS``), the only thing sent to
 every worker, so that corpus texts leave behind only values that some item has; those are joined with the sketches by
@@ -30,11 +32,15 @@ from vellum.session import spread, written
 
 SKETCH = 128
 FILTER_BITS = 24
-#: An item counts as held from this share of its shingles: two fifths of its words, less the shingles that a few
-#: changed words break.
-SHARE = 0.33
-#: A pair is verified from this part of the share on its sketch, so that sampling misses none.
-SLACK = 0.5
+#: An item counts as held from this share of its words.
+SHARE = 0.4
+#: A pair is aligned from this share of its sketch: two fifths in three stretches with six changed words keep a tenth.
+CANDIDATE = 0.06
+#: Of words, and of characters that are words alone: the shortest equal run, the widest change within a stretch, and
+#: how many a stretch must have in common to be more than a phrase.
+RUN, CHANGED, PHRASE = (3, 4), (4, 8), (10, 12)
+#: The part of a stretch that must be equal, and how many stretches are a few.
+EQUAL, FEW = 0.75, 4
 CHARS = 1_000_000
 #: Sketch values up to this number (20 bytes each) are broadcast.
 BROADCAST_VALUES = 1_000_000
@@ -125,28 +131,95 @@ def met(docs: DataFrame, key: str, text: str, bits, simplify: tuple[tuple[int, i
     return spread(own, "doc_id").mapInArrow(run, "doc_id long, value long")
 
 
+def grams(token: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first token, size) of every run of ``RUN`` tokens, sorted by hash."""
+    h, at, size, _ = S.shingles(token, single, np.zeros(len(token), "int64"), RUN)
+    order = np.argsort(h, kind="stable")
+    return h[order], at[order], size[order]
+
+
+def runs(item: tuple[np.ndarray, np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(start in the item, start in the text, length) of the maximal equal runs, by their start in the text."""
+    low = np.searchsorted(doc[0], item[0], "left")
+    n = np.searchsorted(doc[0], item[0], "right") - low
+    if not n.sum():
+        return []
+    i, size = np.repeat(item[1], n), np.repeat(item[2], n)
+    diagonal = doc[1][np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())] - i
+    order = np.lexsort((i, diagonal))
+    i, size, diagonal = i[order], size[order], diagonal[order]
+    lane = (diagonal - diagonal.min()) << 32  # so that an end carries on within its diagonal only
+    end = np.maximum.accumulate(lane + i + size) - lane
+    new = np.ones(len(i), bool)
+    new[1:] = (diagonal[1:] != diagonal[:-1]) | (i[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    found = zip(i[first].tolist(), (i + diagonal)[first].tolist(), (end[last] - i[first]).tolist())
+    return sorted(found, key=lambda r: (r[1], r[0]))
+
+
+def stretches(found: list[tuple[int, int, int]], single: np.ndarray) -> list[tuple[int, int, int]]:
+    """(equal tokens, start, end in the item) of the best chains of runs, each run in one; the longest come first."""
+    best, back = [0] * len(found), [-1] * len(found)
+    for x, (i, j, size) in enumerate(found):
+        gap, y = CHANGED[int(single[i])], x - 1
+        while y >= 0 and found[y][1] >= j - len(single) - gap:  # no run is longer than the item
+            a, c, n = found[y]
+            if a < i and c < j and i - a - n <= gap and j - c - n <= gap:
+                gain = best[y] - max(0, a + n - i, c + n - j)  # what both hold counts once
+                if gain > best[x] and a + n < i + size and c + n < j + size:
+                    best[x], back[x] = gain, y
+            y -= 1
+        best[x] += size
+    out, used = [], set()
+    for x in sorted(range(len(found)), key=lambda x: -best[x]):
+        if x in used:
+            continue
+        y, start = x, 0
+        while y >= 0 and y not in used:
+            used.add(y)
+            start, y = found[y][0], back[y]
+        out.append((best[x] - (best[y] if y >= 0 else 0), start, found[x][0] + found[x][2]))
+    return sorted(out, key=lambda c: -c[0])
+
+
+def covered(found: list[tuple[int, int, int]], single: np.ndarray) -> float:
+    """The share of an item's tokens within the few longest stretches that are more than a phrase."""
+    held, few = np.zeros(len(single), bool), 0
+    for equal, a, b in stretches(found, single):
+        phrase = PHRASE[int(single[a:b].mean() > 0.5)]
+        if equal >= min(phrase, EQUAL * len(single)) and equal >= EQUAL * (b - a) and not held[a:b].all():
+            held[a:b] = True
+            few += 1
+            if few == FEW:
+                break
+    return float(held.mean()) if len(held) else 0.0
+
+
 def verified(pairs: DataFrame, share: float, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
     """``doc_id, item_id, share`` of the pairs (doc_id, text, item_id, passage) whose text holds enough of the passage."""
 
+    def parts(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        token, single, t = S.tokens(texts, _tables(simplify))
+        at = np.searchsorted(t, np.arange(len(texts) + 1))
+        return [(token[a:b], single[a:b]) for a, b in zip(at[:-1], at[1:])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
-                docs, items = (batch.column(k).to_pylist() for k in ("text", "passage"))
-                dh, dt = hashed(docs, simplify)
-                ih, it = hashed(items, simplify)
-                d_at, i_at = (np.searchsorted(x, np.arange(batch.num_rows + 1)) for x in (dt, it))
-                held = []
-                for r in range(batch.num_rows):
-                    own = ih[i_at[r] : i_at[r + 1]]
-                    held.append(float(np.isin(own, dh[d_at[r] : d_at[r + 1]], assume_unique=True).mean()) if len(own) else 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(held, pa.float64())], ["doc_id", "item_id", "share"])
+        for batch in batches:
+            docs, items = (batch.column(k).to_pylist() for k in ("text", "passage"))
+            for a, b in portions(docs):
+                own_docs, own_items = (list(dict.fromkeys(x[a:b])) for x in (docs, items))
+                d = {t: grams(*x) for t, x in zip(own_docs, parts(own_docs))}
+                i = {t: (grams(*x), x[1]) for t, x in zip(own_items, parts(own_items))}
+                held = [covered(runs(i[p][0], d[t]), i[p][1]) for t, p in zip(docs[a:b], items[a:b])]
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("item_id"), pa.array(held, pa.float64())], ["doc_id", "item_id", "share"])
 
     return pairs.select("doc_id", "item_id", "text", "passage").mapInArrow(run, "doc_id long, item_id long, share double").where(F.col("share") >= share)
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """``doc_id, item_id, share``: every text that holds at least ``share`` of an item's shingles."""
+    """``doc_id, item_id, share``: every text that holds at least ``share`` of an item's words."""
     spark = docs.sparkSession
     simplify = tuple(S.simplified(spark).items())
     sketch = written(sketches(items, item, text, simplify), "sketches")
@@ -154,7 +227,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     # sketches of a checked size go to the texts, so that a value many texts hold is no hot key; more are joined by value
     side = F.broadcast(sketch) if sketch.count() <= BROADCAST_VALUES else sketch
     shared = met(docs, doc, text, bits, simplify).join(side, "value").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    found = written(shared.where(F.col("n") >= F.lit(share * SLACK) * F.col("size")).select("doc_id", "item_id"), "leak-pairs")
+    found = written(shared.where(F.col("n") >= F.lit(CANDIDATE) * F.col("size")).select("doc_id", "item_id"), "leak-pairs")
     passages = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("passage"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return verified(texts.join(found, "doc_id").join(passages, "item_id"), share, simplify)
