@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import audio, fields, predicates, text, udfs
-from vellum.kernels import chunker
+from vellum.kernels import caps, chunker
 from vellum.kernels.chars import SB
 from vellum.operators import chapters, cleaning, headings, lookups, manifest, progress, stats, timeline
-from vellum.plans import pipeline
+from vellum.plans import catalogue, pipeline
 
 
 def rows(df, *cols):
@@ -221,6 +221,23 @@ def test_headings(spark):
     assert rows(headings.dominant_spelling(words, ["book_id"]), "key", "spelling") == [("oak", "Oak"), ("the", "the")]
 
 
+def test_spellings_are_of_whole_words(spark):
+    data = [("b", 2, "Clémence wouldn’t. TRÈS tombée, Été été"), ("b", 1, "clémence très x² don't Àb-c ⅳ"), ("b", 3, "Clémence 1st _t 好a e\u0301t"), ("c", 1, None)]
+    words = headings.words(spark.createDataFrame(data, "book_id string, row_id long, text string"), ["book_id"], "text", "row_id")
+    got = rows(headings.dominant_spelling(words, ["book_id"]), "key", "spelling")
+    assert got == sorted(caps.case_map("", [t for _, _, t in sorted(data[:3])]).items(), key=repr)
+    assert {("clémence", "Clémence"), ("wouldn’t", "wouldn’t"), ("tombée", "tombée"), ("été", "Été")} <= set(got) and "tre" not in dict(got)
+
+
+def test_whole_word_spelling_agrees_with_the_kernel(spark, small):
+    texts: dict = {}
+    for r in spark.read.parquet(f"{small}/chapters_raw.parquet").where("text IS NOT NULL").orderBy("row_id").collect():
+        texts.setdefault(r.book_id, []).append(r.text)
+    expected = [(b, k, w) for b, t in texts.items() for k, w in caps.case_map("", t).items()]
+    got = rows(catalogue.QUERIES["whole_word_spelling"](spark, small), "book_id", "key", "spelling")
+    assert got == sorted(expected, key=repr)
+
+
 def test_section_marks_agree_with_the_kernel(spark):
     from vellum.kernels import sections
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.functions.text import fold_quotes, spaced, strip
 
+# The words of kernels.caps: what Python's \w has besides digits and _ are letters, letter numbers and other numbers.
+WORD = r"[\p{L}\p{Nl}\p{No}](?:[\p{L}\p{Nl}\p{No}'’\-]|\u0300-\u036f)*"
+
 
 def heading_key(c: Column, fold: bool = True) -> Column:
     """A heading for comparison: blanks collapsed, without case, quotes folded."""
@@ -64,10 +67,16 @@ def usual_classes(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("_least", least).where("uses >= _least").drop("_least")
 
 
+def words(df: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
+    """``keys, word, pos``: the words of each text as ``kernels.caps`` takes them, pos rising by ``order``, then by place."""
+    found = F.posexplode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("p", "word")
+    return df.select(*keys, F.col(order).alias("_o"), found).select(*keys, "word", (F.col("_o") * (1 << 24) + F.col("p")).alias("pos"))
+
+
 def dominant_spelling(words: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The leading spelling of each word by its small letters: more uses, then better case, then the earlier one."""
-    counted = words.where(F.col("word").rlike(r"\p{Ll}")).groupBy(*keys, F.lower("word").alias("key"), "word").agg(F.count("*").alias("uses"), F.min(order).alias("first"))
-    rank = F.when(F.col("word").rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~F.col("word").rlike(r"\p{Lu}"), 2).otherwise(1)
+    counted = words.where(F.col("word").rlike(r"\p{IsLowercase}")).groupBy(*keys, F.lower("word").alias("key"), "word").agg(F.count("*").alias("uses"), F.min(order).alias("first"))
+    rank = F.when(F.col("word").rlike(r"^\p{IsUppercase}.*\p{IsLowercase}"), 3).when(~F.col("word").rlike(r"[\p{IsUppercase}\p{Lt}]"), 2).otherwise(1)
     best = F.max(F.struct("uses", rank.alias("rank"), (-F.col("first")).alias("early"), F.col("word").alias("spelling"))).alias("_b")
     return counted.groupBy(*keys, "key").agg(best).select(*keys, "key", "_b.spelling", "_b.uses", "_b.rank")
 

@@ -283,6 +283,13 @@ def dominant_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.dominant_spelling(words.withColumn("pos", F.col("row_id") * 1_000_000 + F.col("p")), ["book_id"]).select("book_id", "key", "uses", "rank")
 
 
+@query()
+def whole_word_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dominant_spelling, whose SQL takes ASCII words only, with the words of every script that has small letters, and their spelling."""
+    texts = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("book_id", "row_id", "text"), "row_id")
+    return headings.dominant_spelling(headings.words(texts, ["book_id"], "text", "row_id"), ["book_id"])
+
+
 @query(
     f"WITH x AS (SELECT row_id, list_filter(list_transform(headings, lambda h: {sql_strip('h')}), lambda h: h <> '') AS h FROM chapters_raw WHERE headings IS NOT NULL), y AS (SELECT row_id, unnest(h) AS v, generate_subscripts(h, 1) AS i FROM x), "
     f"z AS (SELECT row_id, v, i, row_number() OVER (PARTITION BY row_id, lower({sql_spaced(sql_fold('v'))}) ORDER BY i) AS n FROM y), g AS (SELECT row_id, string_agg(v, '|' ORDER BY i) AS headings FROM z WHERE n = 1 GROUP BY row_id) SELECT x.row_id, coalesce(g.headings, '') AS headings FROM x LEFT JOIN g ON x.row_id = g.row_id"
