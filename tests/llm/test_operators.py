@@ -179,6 +179,20 @@ def test_other_misreadings():
     assert mojibake.repair(None) == (None, False) and mojibake.repair("") == ("", False)
 
 
+@pytest.mark.parametrize("wrote,read", [("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("gb18030", "latin-1"), ("utf-8", "gb18030")])
+def test_a_short_garbled_stretch_in_a_long_sound_line(wrote, read):
+    before, after = "雨停之后，乔知秋照旧把账本放在桌上，好在钱庄没有想象中容易，云梯渡口的人都说 Café Lorian 的灯还亮着。" * 2, "，姑娘们不声不响地走过枫桥头的车站，月亮升起时才发觉那封信值得再看一遍。" * 2
+    assert mojibake.repair(f"{before}银票市价{after}".replace("银票市价", "银票市价".encode(wrote).decode(read))) == (f"{before}银票市价{after}", True)
+
+
+def test_a_short_garbled_stretch_in_other_scripts():
+    for line, word in (("เช้าวันนั้นเธอเดินไปตลาดกับน้องสาวและซื้อผลไม้หลายอย่างกลับบ้าน" * 2, "ตลาด"), ("उस सुबह वह अपनी बहन के साथ बाज़ार गई और बहुत से फल लेकर घर लौटी। " * 2, "बहन"), ("あの朝、彼女は妹と市場へ行って、たくさんの果物を買って家に帰りました。" * 2, "果物を")):
+        wrong = line.replace(word, word.encode().decode("latin-1"), 1)
+        assert mojibake.repair(wrong) == (line, True)
+    for sound in ("公司名后常见™®©等标记，货币则写作€，各地不同，读者自会分辨。", "设x∈A，y≥x，且∑≤∞，则命题成立，证明从略，见前一章的第三节。", "他在 Café Été 读了 «Élégie» 和 Достоевский 的书，回来后久久不语。" * 2):
+        assert mojibake.repair(sound) == (sound, False)
+
+
 def test_repaired_rows(spark):
     df = spark.createDataFrame([("t", 1, "CafÃ© Lorian"), ("t", 2, "Café Lorian"), ("t", 3, None), ("t", 1, "CafÃ© Lorian")], "table_name string, row_id long, text string")
     assert rows(mojibake.repaired(df, ["table_name", "row_id"], "text"), "row_id", "restored") == [(1, "Café Lorian")] * 2

@@ -12,7 +12,8 @@ national character sets (the levels themselves come from the codecs). It is a su
 statistics of the corpus, so a row's result never depends on other rows.
 
 Defined cases: null, empty and blank texts are sound; lines are judged alone, and a row is garbled when any of its
-lines is; a short quoted example (at most ``QUOTED`` characters) within an otherwise sound line is no case; a line
+lines is; a garbled stretch within a sound line of a script that one-byte encodings do not hold is judged by itself;
+a short quoted example (at most ``QUOTED`` characters) within an otherwise sound line is no case; a line
 with replacement characters that no round trip restores is garbled and keeps its text.
 """
 
@@ -37,6 +38,13 @@ WRITTEN = ("utf-8", "gb18030", "big5hkscs", "cp932", "euc_jp", "cp949", "cp1252"
 QUOTED = 8
 LAYERS = 4
 LINE = re.compile("[^\n]+")
+#: What one-byte encodings hold, within a line of a script that they do not; what may stand around it in sound text.
+NARROW = re.compile("[\x00-\u08ff\u2000-\u27bf\uf8ff\ufb01\ufb02]+")
+AROUND = " \t\r“”‘’—–…·"
+#: Letters torn from their bytes; rows of symbols, currencies and the like have none, and are garbled only if a round trip gives text.
+BROKEN = re.compile("[\x7f-\x9f]|[À-ÖØ-öø-ÿŒœŠšŽžŸЀ-џ][^\\w\\s,.;:!?'\")\\]’”—…]")
+#: Odd characters of such a script with at most so many others between them are one stretch; so many may be added at its ends.
+BETWEEN, BESIDE = 2, 2
 EXAMPLE = re.compile("[“\"‘「『«《][^“”\"‘’「」『』«»《》\n]{0,%d}[”\"’」』»》]" % QUOTED)
 
 
@@ -105,6 +113,8 @@ NEIGHBOURS = (
     (re.compile("(?<=[一-鿿])[À-ÿ](?=[一-鿿])"), 0.7),
 )
 HAN = re.compile("[㐀-鿿]+")
+#: Letters that no one-byte encoding here holds.
+WIDE = re.compile("[ऀ-\u1fff⺀-\ud7ff]")
 NEAR = re.compile("[¡-ÿŒœŠšŽžŸΆ-ώЀ-џ가-힣]")
 
 _weights: dict[str, float] = {}
@@ -269,12 +279,12 @@ def candidates(line: str) -> list[str]:
     return some
 
 
-def repair_once(line: str, hint: tuple[str, str] | None = None) -> tuple[str, float, float, tuple[str, str] | None]:
-    """(best text, its cost, the cost before, the encodings that gave it); ``hint`` is tried first."""
+def repair_once(line: str, hint: tuple[str, str] | None = None) -> tuple[str, float, float, tuple[str, str] | None, bool]:
+    """(best text, its cost, the cost before, the encodings that gave it, whether at torn edges); ``hint`` is tried first."""
     before = cost(line)
-    best, least, pair = line, before, None
+    best, least, pair, torn = line, before, None, False
     if before < 0.7:
-        return best, least, before, None
+        return best, least, before, None, torn
     beyond = len(line) - len(line.encode("ascii", "ignore"))
     reads = candidates(line)
     # text of a legacy encoding is garbled through and through; a few rare characters are not worth a trip
@@ -301,10 +311,10 @@ def repair_once(line: str, hint: tuple[str, str] | None = None) -> tuple[str, fl
                     continue
                 now = cost(again) + (0.0 if wrote == "utf-8" else 0.2)
                 if now < least - 1e-9:
-                    best, least, pair = again, now, (read, wrote)
+                    best, least, pair, torn = again, now, (read, wrote), edges
                     if now < 0.1 * before:
-                        return best, least, before, pair
-    return best, least, before, pair
+                        return best, least, before, pair, torn
+    return best, least, before, pair, torn
 
 
 def repair_line(line: str, hint: tuple[str, str] | None = None) -> tuple[str, bool, tuple[str, str] | None]:
@@ -315,12 +325,15 @@ def repair_line(line: str, hint: tuple[str, str] | None = None) -> tuple[str, bo
     if not odd().search(rest) or cost(rest) < 0.7:
         return line, False, hint
     found, now, outer = False, line, hint
+    part, some = repair_within(line) if WIDE.search(line) else (line, False)
     lost = "�" in rest
     for layer in range(LAYERS):
-        again, after, before, pair = repair_once(now, outer if not layer else None)
+        again, after, before, pair, torn = repair_once(now, outer if not layer else None)
         utf8 = pair is not None and pair[1] == "utf-8"
         if again == now or before - after < (0.6 if utf8 else 0.9 if before < 4 else 0.5 * before) or (not utf8 and after > 0.4 * before and not lost):
             break
+        if torn and some and cost(part) <= 0.05 * cost(line):
+            return part, True, hint
         if not layer:
             outer = pair
         now, found = again, True
@@ -328,9 +341,66 @@ def repair_line(line: str, hint: tuple[str, str] | None = None) -> tuple[str, bo
         # nothing gives the text back, but it is garbled through and through; rare Han characters alone are no proof of it
         whole, marks = cost(rest), cost(HAN.sub("", rest))
         lost = (whole >= 6 and whole >= 0.5 * len(rest)) or (marks >= 2.5 and marks >= 0.2 * len(rest))
+        now, found = part, some
     return now, found or lost, outer
 
 
+def strictly(part: str) -> str | None:
+    """UTF-8 that was read with several bytes a character, read again; None where no encoding gives sound text."""
+    before = cost(part)
+    for read in READ_MANY:
+        try:
+            again = part.encode(read).decode("utf-8")
+        except UnicodeError:
+            continue
+        if again != part and before - cost(again) >= 0.6 * before:
+            return again
+    return None
+
+
+def repair_within(line: str) -> tuple[str, bool]:
+    """(line with its garbled stretches restored, whether it has any): each stretch is judged by itself, quoted examples are left."""
+    quoted = [m.span() for m in EXAMPLE.finditer(line)]
+    free = lambda a, b: not any(a < d and c < b for c, d in quoted)
+    edits: list[tuple[int, int, str]] = []
+    for m in NARROW.finditer(line):
+        part = m.group()
+        bare = (m.start() + len(part) - len(part.lstrip(AROUND)), m.start() + len(part.rstrip(AROUND)))
+        # marks that sound text has around it may be part of what is garbled
+        for a, b in dict.fromkeys((m.span(), bare)):
+            if a >= b or not free(a, b) or not odd().search(line, a, b) or len({c for c in line[a:b] if c > "\x7f"}) < 3:
+                continue
+            if (a, b) != bare and repair_once(line[a:b])[4]:
+                continue
+            again, bad, _ = repair_line(line[a:b])
+            if bad and (again != line[a:b] or len(BROKEN.findall(line, a, b)) >= 2):
+                edits.append((a, b, again))
+                break
+    groups: list[list[int]] = []
+    for m in odd().finditer(line):
+        if m.group() >= "⺀":
+            if groups and m.start() - groups[-1][1] <= BETWEEN:
+                groups[-1][1] = m.end()
+            else:
+                groups.append([m.start(), m.end()])
+    for a, b in groups:
+        if not free(a, b) or b - a < 2 or cost(line[a:b]) < 1.4:
+            continue
+        for left, right in sorted(((x, y) for x in range(BESIDE + 1) for y in range(BESIDE + 1)), key=sum):
+            if a < left or b + right > len(line) or b + right - a + left < 3:
+                continue
+            again = strictly(line[a - left : b + right])
+            if again is not None:
+                edits.append((a - left, b + right, again))
+                break
+    out, at = [], 0
+    for a, b, again in sorted(edits):
+        if a >= at:
+            out += [line[at:a], again]
+            at = b
+    return "".join([*out, line[at:]]), bool(edits)
+
+
 def repair(text: str | None) -> tuple[str | None, bool]:
     """(restored text, whether any line was garbled)."""
     if not text or not odd().search(text):
