@@ -13,16 +13,52 @@ from vellum.kernels.chars import JAVA_CHINESE, JAVA_HAN, SB
 FLAGS = "(?iumdU)"
 
 # Title patterns of chapters that are dropped, in order.
-DROP_TITLES = tuple(f"^{t}$" for t in "目录 目錄 封面 封底 扉页 扉頁 版权 版權 版权信息 版權資訊 版權信息 版权页 版權頁 作者简介 作者簡介 广告 廣告 内容简介 內容簡介 出版信息 出版資訊".split())
+DROP_TITLES = (
+    r"^目录$",
+    r"^目錄$",
+    r"^封面$",
+    r"^封底$",
+    r"^扉页$",
+    r"^扉頁$",
+    r"^版权$",
+    r"^版權$",
+    r"^版权信息$",
+    r"^版權資訊$",
+    r"^版權信息$",
+    r"^版权页$",
+    r"^版權頁$",
+    r"^作者简介$",
+    r"^作者簡介$",
+    r"^广告$",
+    r"^廣告$",
+    r"^内容简介$",
+    r"^內容簡介$",
+    r"^出版信息$",
+    r"^出版資訊$",
+)
 # Headings from which a chapter is cut off, in order.
-CUTOFFS = tuple(rf"^\s*{t}\s*$" for t in "参考文献 參考文獻 索引 注释 注釋 脚注 腳註 引用文献 引用文獻".split())
+CUTOFFS = (
+    r"^\s*参考文献\s*$",
+    r"^\s*參考文獻\s*$",
+    r"^\s*索引\s*$",
+    r"^\s*注释\s*$",
+    r"^\s*注釋\s*$",
+    r"^\s*脚注\s*$",
+    r"^\s*腳註\s*$",
+    r"^\s*引用文献\s*$",
+    r"^\s*引用文獻\s*$",
+)
 # Titles of pages without content.
-NON_CONTENT = "封面 封底 目录 目錄 版权 版權 版权页 版權頁 版权信息 版權資訊 版權信息 扉页 扉頁 contents toc cover copyright".split()
+NON_CONTENT = [
+    "封面", "封底", "目录", "目錄", "版权", "版權", "版权页", "版權頁", "版权信息", "版權資訊", "版權信息", "扉页", "扉頁", "contents", "toc", "cover",
+    "copyright",
+]
 # Terms that are headings by themselves.
-STRUCTURAL = (
-    "prologue epilogue postscript interlude preface afterword introduction 序 序章 序言 序曲 自序 代序 前言 引言 引子 楔子 导言 導言 导读 導讀 "
-    "尾声 尾聲 终章 終章 结语 結語 结束语 結束語 后记 後記 跋 番外 附录 附錄"
-).split()
+STRUCTURAL = [
+    "prologue", "epilogue", "postscript", "interlude", "preface", "afterword", "introduction", "序", "序章", "序言", "序曲",
+    "自序", "代序", "前言", "引言", "引子", "楔子", "导言", "導言", "导读", "導讀", "尾声", "尾聲", "终章", "終章", "结语", "結語", "结束语", "結束語", "后记",
+    "後記", "跋", "番外", "附录", "附錄",
+]
 UNITS = "章節节話话部卷巻回篇編编集幕讲講"
 NUMERALS = "0-9０-９一二三四五六七八九十百千〇零两兩"
 ROMAN = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"

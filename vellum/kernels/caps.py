@@ -9,13 +9,19 @@ from collections.abc import Iterable, Mapping
 # A word: a letter, then letters, apostrophes and hyphens. Its last alternative is the literal three characters
 # (combining grave, hyphen, combining ring), a fixed value of the format, so combining marks do not go on a word.
 WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|['’\\-]|̀-ͯ)*")
-# Fixed values.
-ACRONYMS = frozenset("abc bbc cbs cia cnn dna eu fbi hiv irs mlb nba nfl nato nasa nhl rna uk un usa".split())
-STOPWORDS = frozenset(
-    "a an and are as at be been being before but by did do does for from had has have he her hers him his how i if in into is it its "
-    "me my no nor not of on or our ours she so that the their theirs them then there these they this those to us was we were what "
-    "when where which who why with without you your yours".split()
-)
+# Words that stay in capitals.
+ACRONYMS = frozenset({
+    "abc", "bbc", "cbs", "cia", "cnn", "dna", "eu", "fbi", "hiv", "irs", "mlb", "nba", "nfl", "nato", "nasa", "nhl",
+    "rna", "uk", "un", "usa",
+})
+# Words that are small within a title.
+STOPWORDS = frozenset({
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "before", "but", "by", "did", "do", "does", "for",
+    "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its",
+    "me", "my", "no", "nor", "not", "of", "on", "or", "our", "ours", "she", "so", "that", "the", "their", "theirs",
+    "them", "then", "there", "these", "they", "this", "those", "to", "us", "was", "we", "were", "what", "when", "where",
+    "which", "who", "why", "with", "without", "you", "your", "yours",
+})
 VOWELS = frozenset("aeiouyāīūṛṝḷḹ")
 FEWEST, MOST = 2, 6
 BLOCK = re.compile(r"\n\s*\n")
@@ -47,8 +53,12 @@ def titled(word: str) -> str:
 
 
 def keeps_capitals(word: str) -> bool:
+    """A word of capitals that is no word in capitals: an abbreviation (known, short, or of four letters none of which is a vowel) or a Roman numeral."""
     low = word.lower()
-    return low in ACRONYMS or re.fullmatch("[IVXLCDM]+", word) is not None or len(word) <= 3 or (len(word) == 4 and not VOWELS & set(low))
+    if low in ACRONYMS or not set(word) - set("IVXLCDM"):
+        return True
+    vowels = sum(c in VOWELS for c in low)
+    return len(word) < 4 or (len(word) == 4 and vowels == 0)
 
 
 def recased(word: str, known: Mapping[str, str], first: bool, as_title: bool, small: bool = False) -> str:
