@@ -193,6 +193,47 @@ def test_a_short_garbled_stretch_in_other_scripts():
         assert mojibake.repair(sound) == (sound, False)
 
 
+#: Sentences with the encodings they may have been written in.
+WRITTEN = [
+    ("Привет, старик молча закрыл дверь и вышел на улицу.", "utf-8 cp1251 koi8_r"), ("เช้าวันนั้นเธอเดินไปตลาดกับน้องสาว", "utf-8 cp874"), ("그날 아침 그녀는 여동생과 함께 시장에 갔다.", "utf-8 cp949"),
+    ("温守拙喊道，门没有锁。乌篷渡口的船夫们再三认出照片。", "utf-8 gb18030"), ("版权信息", "utf-8 gb18030"), ("舒若谷與聞臨川約在石鼓客棧，門沒有鎖。", "utf-8 big5hkscs gb18030"),
+    ("翌朝、灯子は木箱を思い出した。", "utf-8 cp932 euc_jp"), ("Ο γέρος έκλεισε την πόρτα και έφυγε.", "utf-8 cp1253"), ("Clémence a oublié l’île à Vaudrême, très tard.", "utf-8"), ("रुक जाओ! कौन है?", "utf-8"),
+]
+
+
+@pytest.mark.parametrize("read", ["latin-1", "cp1252", "mac_roman", "cp437", "koi8_r", "cp1251"])
+def test_exact_restoration_of_every_script(read):
+    back = {v: k for k, v in mojibake.one_byte(read).items()}
+    for text, encodings in WRITTEN:
+        for wrote in encodings.split():
+            if wrote == read or (wrote, read) == ("cp1253", "cp1251"):  # Greek read as Cyrillic in small letters looks like text
+                continue
+            wrong = "".join(chr(back[b]) for b in text.encode(wrote))
+            assert mojibake.repair(wrong) == (text, True), (wrote, read)
+
+
+def test_any_number_of_layers_and_stretches_of_latin():
+    wrong = "café"
+    for _ in range(6):
+        wrong = wrong.encode().decode("latin-1")
+    assert mojibake.repair(wrong) == ("café", True)
+    assert mojibake.repair("naïve cafÃ© déjà vu") == ("naïve café déjà vu", True)
+    assert mojibake.repair("Clémence a oublié l’île".encode("cp1252").decode("mac_roman")) == ("Clémence a oublié l’île", True)
+    for sound in ("Il dit «CAFÉ» et « ÉTÉ », puis BLÅ».", "At ﬁrst light, Tobin Késten gave the coat away.", "Саfé Lorian, МасEwan и Мария МакДональд."):
+        assert mojibake.repair(sound) == (sound, False)
+
+
+def test_nothing_sound_is_lost_at_torn_edges():
+    assert mojibake.repair("他说“Ã©Ã¨Ã¼Ã¶Ã¤”。") == ("他说“éèüöä”。", True)
+    got, bad = mojibake.repair("前面是好的句子，" + "银票市价".encode().decode("latin-1")[:-1] + "，后面也是好的。")
+    assert bad and got.startswith("前面是好的句子，银票市") and got.endswith("，后面也是好的。")
+
+
+def test_the_length_of_a_quoted_example_is_a_parameter():
+    line = "The label read “Ã©Ã¨Ã¼Ã¶Ã¤” until somebody changed the font."
+    assert mojibake.repair(line)[1] and mojibake.repair(line, 10) == (line, False)
+
+
 def test_repaired_rows(spark):
     df = spark.createDataFrame([("t", 1, "CafÃ© Lorian"), ("t", 2, "Café Lorian"), ("t", 3, None), ("t", 1, "CafÃ© Lorian")], "table_name string, row_id long, text string")
     assert rows(mojibake.repaired(df, ["table_name", "row_id"], "text"), "row_id", "restored") == [(1, "Café Lorian")] * 2
