@@ -2,10 +2,13 @@
 
 A line is a chain of places where a unit may end: runs of end marks with the closing quotes and brackets right
 after them, and the end of the line. Dynamic programming picks the spans between those places whose scores add
-up highest. The score of a span looks at its both ends together: how it closes (mark, abbreviation, number,
-omission), how the text after it opens (small letter, particle, words that tell who spoke), whether its quotes and
-brackets balance, and how long it is. Places that end a unit whatever stands around them close off the search,
-so its work grows with the ambiguous places between two certain ones only.
+up highest. The score of a span weighs its both ends and what is between them together: how it closes (mark,
+abbreviation, initial, number, omission), how the text goes on after it (small letter, particle, words that tell who
+spoke), how it opens, how long it is, and whether its quotes and brackets balance (a place within a pair is none).
+
+What opening, length and content can add or take from a chain is bounded (``BOUND``), so a place whose own evidence is
+above twice that ends a unit in every best chain and closes the search. Between such places the score of a span
+depends on where it starts for a bounded length only (``FAR``), so the search is linear in the places of a line.
 
 Defined cases: null, empty and blank texts have no unit; a span without letter or digit is none; a text without
 any mark is one unit a line; positions are code points of the stored text; repeated rows give repeated units.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,9 +40,12 @@ QUOTES = set("“‘«‹「『\"")
 PLAIN_BRACKETS = set("（([［")
 ENCLOSE = re.compile("[" + re.escape("".join(PAIRS) + "".join(CLOSERS)) + '"]')
 AFTER = re.compile(f"(?:[    ]?[»›]|{GHOST}*[" + re.escape('"”’」』）)]｝}》〉】〕］') + "])+")
+INTRO = " \t\u00a0\u3000" + GHOST  # blanks between words and the quotation they introduce
 LETTER = re.compile(r"[^\W_]")
 BLANKS = re.compile(rf"[\s{GHOST}]*")
-WORD_BEFORE = re.compile(rf"[\w.’'°{GHOST}ऀ-ॣ-]+\Z")
+WORD_CHARS = frozenset(".’'°-" + GHOST)
+WORD = re.compile(r"\w+")
+FIGURES = re.compile(r"(?:[ivxlcIVXLC]+\b|[一二三四五六七八九十百零〇]+\b)")
 
 # Words whose dot belongs to them.
 NEVER_LAST = set(
@@ -67,6 +74,13 @@ SPOKE_LATIN = re.compile(
 )
 SPOKE_HI = re.compile("पूछा|कहा|बोला|बोली|बोले|चिल्लाया|चिल्लाई|उत्तर|जवाब|पुकारा")
 
+#: The evidence of a place that ends a unit whatever stands around it, and that of an end mark right after a quotation.
+CERTAIN, AFTER_QUOTE = 10.0, 4.0
+#: What a span gains or loses: below four characters, without a letter, for each character above LONG up to FAR, and by its first word.
+SHORT, EMPTY, LONG, EACH, FAR, OPENING = 0.25, 1.0, 160, 0.01, 320, 0.75
+#: The most that all these change in a chain when one place is added.
+BOUND = SHORT + EMPTY + EACH * (FAR - LONG) + OPENING
+
 _fold: dict[int, str] = {}
 
 
@@ -116,121 +130,144 @@ def next_at(s: str, at: int) -> int:
     return BLANKS.match(s, at).end()
 
 
-def dot_ends(s: str, a: int, e: int) -> int:
-    """What a single dot at ``a`` is, the text going on at ``e``: 0 no end, 1 an end, 2 an end unless only a number stands before it."""
+def word_before(s: str, a: int) -> str:
+    """The word that ends at ``a``: in scripts without blanks a name may stand right before it, so it ends at theirs."""
+    at = a
+    while at and ((c := s[at - 1]) in WORD_CHARS or c.isalnum() or c == "_" or "ऀ" <= c <= "ॣ"):
+        if "⺀" <= c <= "鿿" or "가" <= c <= "힣":
+            break
+        at -= 1
+    return s[at:a].replace(GHOST, "")
+
+
+def dot_evidence(s: str, a: int, e: int) -> tuple[float, bool] | None:
+    """How much speaks for an end at the single dot at ``a``, the text going on at ``e``, and whether a number alone before it speaks against it.
+
+    None where the dot belongs to a number or address."""
     nxt = s[a + 1 : a + 2]
     if nxt and e == a + 1 and (nxt.isascii() and (nxt.isalnum() or nxt in ",;:-/@_~")):
-        return 0
-    head = WORD_BEFORE.search(s, max(0, a - 40), a)
-    word = head.group().replace(GHOST, "") if head else ""
-    # the last piece in Latin or Devanagari letters: in scripts without blanks a name may follow directly
-    word = re.split("[⺀-鿿぀-ヿ가-힣]", word)[-1]
+        return None
+    word = word_before(s, a)
     low = word.lower().lstrip(".-'’")
     k = next_at(s, e)
     ahead = s[k : k + 1]
     blank = k > e
     if not word:
-        return 1
+        return CERTAIN, False
     if low.isdigit():
-        return 2 if blank or not ahead.isascii() else 0
-    if ahead in ",;:，；：、":
-        return 0
-    opens = ahead.isupper() or ahead in "“‘«\"「『(（" or (ahead.isalpha() and not ahead.isascii() and not ahead.islower())
+        return (4.0, True) if blank or not ahead.isascii() else (-8.0, False)
+    if ahead and ahead in ",;:，；：、":
+        return -8.0, False
+    opens = ahead.isupper() or (ahead != "" and ahead in "“‘«\"「『(（") or (ahead.isalpha() and not ahead.isascii() and not ahead.islower())
     if low in NEVER_LAST:
-        return 0
+        return -8.0, False
     if low in BEFORE_FIGURES:
-        return 0 if ahead.isdigit() or not blank or re.match(r"[ivxlcIVXLC一二三四五六七八九十百零〇]+\b", s[k : k + 8]) or not opens else 1
+        return (-8.0 if ahead.isdigit() or not blank or FIGURES.match(s, k) else 3.0 if opens else -6.0), False
     if low in MAYBE_LAST:
-        return 1 if opens else 0
+        return (3.0 if opens else -6.0), False
     if len(word) == 1 and word.isalpha() and (word.isupper() or word == "p"):
-        return 0
+        return -5.0, False
     if "." in low:  # an acronym with dots inside, or an address
-        following = re.match(r"\w+", s[k : k + 20])
-        return 1 if opens and (ahead in "“‘«\"「『(（" or (following and following.group().lower() in OPENERS_OF_SENTENCES)) else 0
-    if ahead.islower() and len(low) <= 4:
-        return 0
-    return 1
+        following = WORD.match(s, k)
+        starts = opens and (ahead in "“‘«\"「『(（" or (following is not None and following.group().lower() in OPENERS_OF_SENTENCES))
+        return (2.0 if starts else -1.0 if opens else -6.0), False
+    if ahead.islower():
+        return (-4.0 if len(low) <= 4 else 3.0), False
+    return CERTAIN, False
 
 
-def goes_on(s: str, start: int, o: int, e: int) -> bool:
-    """Whether the sentence of the quotation opened at ``o`` and closed before ``e`` goes on, its unit starting at ``start``."""
+def quote_evidence(s: str, alone: bool, o: int, e: int) -> float:
+    """How much speaks for an end right after the quotation opened at ``o`` and closed before ``e``; ``alone`` if its unit starts with it."""
     k = next_at(s, e)
     ahead = s[k : k + 1]
-    if ahead in ",，、;；:：)）—–-" or ahead.islower():
-        return True
-    if GOES_ON_ZH.match(s, k) or GOES_ON_JA.match(s, k):
-        return True
-    before = s[start:o].rstrip().rstrip(GHOST).rstrip()
-    if before:
+    if (ahead and ahead in ",，、;；:：)）—–-") or ahead.islower() or GOES_ON_ZH.match(s, k) or GOES_ON_JA.match(s, k):
+        return -8.0
+    if not alone:
         # words that introduce it without a colon or comma hold on to what follows, in scripts without blanks
-        last = before[-1]
-        return last.isalpha() and last >= "⺀"
+        last = s[:o].rstrip(INTRO)[-1:] if s[o - 1 : o].isspace() or s[o - 1 : o] == GHOST else s[o - 1 : o]
+        return -8.0 if last.isalpha() and last >= "⺀" else AFTER_QUOTE
     m = CLAUSE.match(s, k)
     clause, stop = m.group().replace(GHOST, "").rstrip(), s[m.end() : m.end() + 1]
-    if stop and stop in ":：“「『«\"" or not clause:
-        return False
-    if stop in ",，" and s[next_at(s, m.end() + 1) :][:1] in ("“", "«", '"', "「"):
-        return False
+    if not clause or (stop and stop in ":：“「『«\""):
+        return AFTER_QUOTE
+    if stop and stop in ",，" and s[next_at(s, m.end() + 1) :][:1] in ("“", "«", '"', "「"):
+        return AFTER_QUOTE
     if clause[0] >= "⺀":
-        return len(clause) <= 24 and SPOKE_ZH.search(clause) is not None
+        told = SPOKE_ZH.search(clause)
+        return AFTER_QUOTE - (10.0 - 0.05 * len(clause) if told else 0.0)
     if "ऀ" <= clause[0] <= "ॿ":
-        return SPOKE_HI.search(clause) is not None
-    return SPOKE_LATIN.search(" ".join(clause.split()[:5])) is not None
+        return AFTER_QUOTE - (12.0 if SPOKE_HI.search(clause) else 0.0)
+    told = SPOKE_LATIN.search(clause)
+    # the further the verb is from the quotation, the less it tells who spoke
+    return AFTER_QUOTE - (8.0 - 0.85 * len(clause[: told.start()].split()) if told else 0.0)
 
 
-def line_units(line: str) -> list[tuple[int, int]]:
-    """The units of one line, as half-open spans."""
-    s = folded(line)
-    n = len(s)
-    # nodes: (end, kind, open); kinds: 0 certain, 1 dot, 2 dot after figures, 3 quotation, 4 bracket
-    nodes: list[tuple[int, int, int]] = []
+class Place(NamedTuple):
+    """Where a unit may end: how much speaks for it, and what that depends on."""
+
+    end: int
+    evidence: float = CERTAIN
+    figures: bool = False  # a number alone before it is no unit
+    quote: int = -1  # where the quotation that closes here opens
+    bracket: int = -1  # the same for a bracket
+
+
+def places(s: str) -> list[Place]:
+    """The places of one line in order; its end is certain, whatever stands there."""
+    out: list[Place] = []
     outer = None
-    p = 0
-    last = 0
+    p = last = 0
     for m in MARKS.finditer(s):
         a, b = m.span()
         if a < last:
             continue
         run = m.group()
-        only_dots = not run.strip(OMIT)
-        if only_dots and (b - a > 1 or run != "."):
+        if not run.strip(OMIT) and (b - a > 1 or run != "."):
             continue  # dots of omission
         if outer is None:
             outer = enclosed(s)
         while p < len(outer) and outer[p][1] < a:
             p += 1
-        inside = p < len(outer) and outer[p][0] < a
         tail = AFTER.match(s, b)
         e = tail.end() if tail else b
-        if inside:
+        if p < len(outer) and outer[p][0] < a:
             o, c = outer[p]
             if e <= c:
-                continue
-            kind = 3 if s[o] in QUOTES else 4
+                continue  # within a pair
             more = MARKS.match(s, e)
             if more and more.group().strip(OMIT):
                 tail = AFTER.match(s, more.end())
-                e, kind = (tail.end() if tail else more.end()), 0
+                e = tail.end() if tail else more.end()
+                found = Place(e)
+            else:
+                found = Place(e, AFTER_QUOTE, quote=o) if s[o] in QUOTES else Place(e, AFTER_QUOTE, bracket=o)
         else:
-            o, kind = -1, 0
             if tail and p < len(outer) and outer[p][0] < e:
                 e = max(b, outer[p][0])  # a straight quote that opens the next quotation
             if run == ".":
-                kind = dot_ends(s, a, e)
-                if not kind:
+                evidence = dot_evidence(s, a, e)
+                if evidence is None:
                     continue
+                found = Place(e, evidence[0], evidence[1])
             else:
                 nxt = s[e : e + 1]
-                if nxt in ",，、;；:：" and nxt or (nxt.isascii() and nxt.isalnum() and s[a - 1 : a].isascii() and s[a - 1 : a].isalnum()):
+                if (nxt and nxt in ",，、;；:：") or (nxt.isascii() and nxt.isalnum() and s[a - 1 : a].isascii() and s[a - 1 : a].isalnum()):
                     continue
+                found = Place(e)
         last = e
-        nodes.append((e, kind, o))
-    if not nodes or nodes[-1][0] < n:
-        nodes.append((n, 0, -1))
-    ends = chosen(s, nodes)
+        out.append(found)
+    if out and out[-1].end >= len(s):
+        out.pop()
+    out.append(Place(len(s)))
+    return out
+
+
+def line_units(line: str) -> list[tuple[int, int]]:
+    """The units of one line, as half-open spans."""
+    s = folded(line)
     out = []
     at = 0
-    for e in ends:
+    for e in chosen(s, places(s)):
         while at < e and line[at].isspace():
             at += 1
         z = e
@@ -242,57 +279,82 @@ def line_units(line: str) -> list[tuple[int, int]]:
     return out
 
 
-def closing(s: str, start: int, node: tuple[int, int, int]) -> float:
-    """How well a unit that starts at ``start`` ends at ``node``."""
-    e, kind, o = node
-    if kind == 1:
-        return 4.0
-    if kind == 2:
-        return -8.0 if s[start:e].replace(GHOST, "").strip(" .\t").isdigit() else 4.0
-    if kind == 3:
-        return -8.0 if goes_on(s, start, o, e) else 4.0
-    if kind == 4:
-        return 4.0 if start == o and s[o] in PLAIN_BRACKETS else -8.0
-    return 8.0
+def closing(s: str, place: Place) -> tuple[float, float]:
+    """The evidence of a place for a unit that starts anywhere, and for one that starts with the pair or number that closes here."""
+    if place.quote >= 0:
+        return quote_evidence(s, False, place.quote, place.end), quote_evidence(s, True, place.quote, place.end)
+    if place.bracket >= 0:
+        return -8.0, AFTER_QUOTE if s[place.bracket] in PLAIN_BRACKETS else -8.0
+    return place.evidence, -8.0 if place.figures else place.evidence
+
 
+def opening(s: str, at: int) -> float:
+    """How well a unit opens at ``at``."""
+    word = WORD.match(s, at)
+    if word is None:
+        return 0.0
+    found = word.group()
+    return OPENING if found.lower() in OPENERS_OF_SENTENCES and found[0].isupper() else -OPENING if found[0].islower() else 0.0
 
-def chosen(s: str, nodes: list[tuple[int, int, int]]) -> list[int]:
+
+def chosen(s: str, nodes: list[Place]) -> list[int]:
     """The ends of the best chain of spans; a certain end closes the search before it."""
-    if all(kind == 0 for _, kind, _ in nodes):
-        return [e for e, _, _ in nodes]
     out: list[int] = []
     base = 0  # where the open stretch starts
-    soft: list[tuple[int, int, int]] = []
-    for node in nodes:
-        if node[1]:
+    soft: list[Place] = []
+    last = len(nodes) - 1
+    for n, node in enumerate(nodes):
+        if n < last and not (node.evidence > 2 * BOUND and node.quote < 0 and node.bracket < 0):
             soft.append(node)
             continue
-        if not soft:
-            out.append(node[0])
-        else:
-            places = [(base, 0, -1), *soft, node]
-            starts = [next_at(s, e) for e, _, _ in places]
-            best = [0.0] + [float("-inf")] * (len(places) - 1)
-            back = [0] * len(places)
-            for j in range(1, len(places)):
-                for i in range(j):
-                    score = best[i] + closing(s, starts[i], places[j])
-                    size = places[j][0] - starts[i]
-                    score -= 0.25 * (size < 4) + (1.0 if not LETTER.search(s, starts[i], places[j][0]) else 0.0)
-                    if score > best[j]:
-                        best[j], back[j] = score, i
-            j, chain = len(places) - 1, []
-            while j:
-                chain.append(places[j][0])
-                j = back[j]
-            out.extend(reversed(chain))
+        if soft:
+            out += searched(s, base, [*soft, node])
             soft = []
-        base = node[0]
-    if soft:  # never: the end of the line is certain
-        out.extend(e for e, _, _ in soft)
+        else:
+            out.append(node.end)
+        base = node.end
     return out
 
 
+def searched(s: str, base: int, nodes: list[Place]) -> list[int]:
+    """The ends of the best chain from ``base`` over ``nodes``, the last of which is certain."""
+    ends = [base, *(x.end for x in nodes)]
+    starts = [next_at(s, e) for e in ends]
+    opens = [0.0, *(opening(s, at) for at in starts[1:])]
+    at_start = {at: i for i, at in enumerate(starts)}
+    lettered = [0] * len(ends)  # the last place up to which there is a letter since the one before
+    best, back = [0.0] * len(ends), [0] * len(ends)
+    far, far_best, far_from = 0, float("-inf"), 0  # of the starts that are FAR behind only the best counts
+    for j in range(1, len(ends)):
+        lettered[j] = j if LETTER.search(s, starts[j - 1], ends[j]) else lettered[j - 1]
+        node = nodes[j - 1]
+        top, came = float("-inf"), 0
+        usual, own = closing(s, node) if j < len(ends) - 1 else (0.0, 0.0)
+        if node.figures:  # a number alone
+            special = next((i for i in (j - 1, j - 2) if i >= 0 and s[starts[i] : ends[j]].replace(GHOST, "").strip(" .\t").isdigit()), j)
+        else:
+            special = at_start.get(node.quote if node.quote >= 0 else node.bracket, j)
+        while far < j and ends[j] - starts[far] >= FAR:
+            if best[far] + opens[far] > far_best:
+                far_best, far_from = best[far] + opens[far], far
+            far += 1
+        tried = [*range(far, j)]
+        if far:
+            tried += [far_from, special] if special < far else [far_from]
+        for i in tried:
+            size = ends[j] - starts[i]
+            score = best[i] + opens[i] + (own if i == special else usual)
+            score -= SHORT * (size < 4) + EMPTY * (lettered[j] <= i) + EACH * min(max(0, size - LONG), FAR - LONG)
+            if score > top or (score == top and i < came):
+                top, came = score, i
+        best[j], back[j] = top, came
+    chain, j = [], len(ends) - 1
+    while j:
+        chain.append(ends[j])
+        j = back[j]
+    return chain[::-1]
+
+
 def units(text: str | None) -> list[tuple[int, int]]:
     """The sentence units of a text."""
     if not text:
