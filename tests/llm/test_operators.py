@@ -66,6 +66,70 @@ def test_units(text):
     assert [text[a:b] for a, b in sentences.units(text)] == CASES[text]
 
 
+def test_a_quotation_at_a_line_end_is_held_by_what_goes_on_after_the_ones_before():
+    text = "“I don’t believe it. Wait for me.” said Tobin Dask, until her brother came back. “Not tonight. Close the door!”\nEnd"
+    assert [text[a:b] for a, b in sentences.units(text)] == ["“I don’t believe it. Wait for me.” said Tobin Dask, until her brother came back.", "“Not tonight. Close the door!”", "End"]
+
+
+def greedy(s):
+    """Every place cut whose own evidence is above zero, from left to right."""
+    start, out, nodes = 0, [], sentences.places(s)
+    for node in nodes[:-1]:
+        usual, own = sentences.closing(s, node)
+        if (own if start == max(node.quote, node.bracket) or (node.figures and s[start : node.end].strip(" .").isdigit()) else usual) > 0:
+            out.append(node.end)
+            start = sentences.next_at(s, node.end)
+    return [*out, len(s)]
+
+
+def test_length_and_opening_decide_with_the_places():
+    long = (
+        "For many years nobody in the old ferry stage had spoken of the court of public opinion or of the garden wall beside the gate, and yet the clerk and her brother came back from the U.S. "
+        "Tobin Dask had counted the letters in the wooden box by then, so that the older people kept talking about it until the rowing boat had left the harbour for the last time."
+    )
+    short = "He left the U.S. Tobin stayed."
+    ends = lambda s: sentences.chosen(s, sentences.places(s))
+    assert ends(short) == greedy(short) == [len(short)]
+    assert ends(long) == [long.index(" Tobin"), len(long)] != greedy(long)
+
+
+def chain_score(s, chain):
+    nodes = {n.end: n for n in sentences.places(s)}
+    start, score = 0, 0.0
+    for k, end in enumerate(chain):
+        node, last = nodes[end], end == chain[-1]
+        usual, own = (0.0, 0.0) if last else sentences.closing(s, node)
+        special = start == max(node.quote, node.bracket) or (node.figures and s[start : node.end].strip(" .").isdigit())
+        size = end - start
+        score += (own if special else usual) + (sentences.opening(s, start) if k else 0.0) - sentences.SHORT * (size < 4)
+        score -= sentences.EMPTY * (sentences.LETTER.search(s, start, end) is None) + sentences.EACH * min(max(0, size - sentences.LONG), sentences.FAR - sentences.LONG)
+        start = sentences.next_at(s, end)
+    return score
+
+
+def best_score(s):
+    """The score of the best of all chains."""
+    ends = [n.end for n in sentences.places(s)]
+    chains = ([e for i, e in enumerate(ends[:-1]) if mask >> i & 1] + ends[-1:] for mask in range(1 << (len(ends) - 1)))
+    return max(chain_score(s, c) for c in chains)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["U.S. ", "“Go now.” ", "said Tom. ", "(See it.) ", "The man ", "Inc. ", "12. ", "x" * 90 + " ", "A. ", "no. 5 ", "went on; ", "e.g. "]), min_size=1, max_size=9))
+def test_the_search_finds_the_best_chain(parts):
+    s = sentences.folded("".join(parts).rstrip())
+    assert chain_score(s, sentences.chosen(s, sentences.places(s))) == pytest.approx(best_score(s))
+
+
+def test_long_lines_take_seconds():
+    import time
+
+    for part, n in (("The man said so to me at 5 p.m. and left. ", 100_000), ("「あ。」と", 50_000), ("e.g. ", 50_000), ("U.S. Tobin ", 50_000)):
+        began = time.process_time()
+        found = len(sentences.units(part * n))
+        assert time.process_time() - began < 60 and found in (n, 1)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab1 .。？!“”「」（）《》\n　​，…\"’说Ａ", max_size=60))
 def test_units_are_ordered_spans_with_content(text):

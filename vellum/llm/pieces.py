@@ -2,11 +2,12 @@
 
 Boundaries have a class: 0 the end of a sentence unit, 1 after a pause mark or blank, 2 anywhere. From a piece's
 start a class is open only where no earlier class gives an admissible cut, one that lies more than the overlap after
-the start, within the limit, and leaves a letter or digit in the piece. Dynamic programming runs over the reachable
-starts in order of position, each keeping the cheapest chain that leads to it. Two costs are offered:
+the start, within the limit, and leaves a letter or digit in the piece. Dynamic programming runs over all starts that
+admissible cuts reach, from the end of the text to its beginning; each start keeps the cut that begins the cheapest
+chain from there on. Two costs are offered:
 
-* ``order="front"``: a piece costs (class, unused room), and chains are compared piece by piece from the front, so
-  that every piece is cut at its latest best boundary;
+* ``order="front"``: a piece costs (class, unused room), and chains are compared piece by piece from the front. No two
+  cuts from one start cost the same, so the first piece decides between chains and the sums of the rest need not be kept;
 * ``order="total"``: the sum of class penalties and squared deviations from the even size is least.
 
 Defined cases: null texts and texts within the limit give no row; a text of blanks alone over the limit is cut at the limit;
@@ -16,7 +17,6 @@ and raises an error. Positions are code points of the stored text, starts includ
 
 from __future__ import annotations
 
-import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -32,73 +32,65 @@ PAUSE = re.compile(r"[，、；：\s]")
 PENALTY = (0.0, 4.0, 25.0)
 
 
-def admissible(text: str, marks: list[int], start: int, limit: int, overlap: int) -> Iterator[int]:
-    """Ends of ``marks`` that may close a piece from ``start``, the latest first."""
-    k = bisect_right(marks, start + limit) - 1
-    while k >= 0 and marks[k] > start + overlap:
-        if not LETTER.search(text, start, marks[k]):
-            return
-        yield marks[k]
-        k -= 1
+def admissible(text: str, marks: list[int], start: int, limit: int, overlap: int) -> list[int]:
+    """All of ``marks`` that may close a piece from ``start``."""
+    low, high = bisect_right(marks, start + overlap), bisect_right(marks, start + limit)
+    if low == high:
+        return []
+    letter = LETTER.search(text, start, marks[high - 1])
+    return marks[max(low, bisect_right(marks, letter.start())) : high] if letter else []
 
 
-def cut(text: str, limit: int, overlap: int, order: str = "front") -> list[tuple[int, int]]:
-    """The pieces of a text, as half-open spans that overlap by ``overlap``."""
-    if limit <= overlap:
-        raise ValueError(f"the limit {limit} must be above the overlap {overlap}")
+def reachable(text: str, limit: int, overlap: int) -> dict[int, tuple[int, list[int]]]:
+    """(class, admissible cuts) of every start that a chain of them may come to; none of those where the rest is within the limit."""
     n = len(text)
-    if n <= limit:
-        return [(0, n)]
     ends = [e for _, e in units(text)]
-    even = n / -(-(n - overlap) // (limit - overlap))
-    best: dict[int, tuple] = {0: ()}
-    came: dict[int, tuple[int, int]] = {}
-    todo, last = [0], None
     pauses: list[int] | None = None
+    found: dict[int, tuple[int, list[int]]] = {}
+    todo = [0]
     while todo:
-        start = heapq.heappop(todo)
+        start = todo.pop()
+        if start in found:
+            continue
         if n - start <= limit:
-            cost = best[start] + ((0, 0),) if order == "front" else best[start] + (((n - start - even) / limit) ** 2,)
-            if last is None or _less(cost, last[0], order):
-                last = (cost, start)
+            found[start] = (0, [])
             continue
-        cuts, kind = list(_first(admissible(text, ends, start, limit, overlap), order)), 0
+        kind, cuts = 0, admissible(text, ends, start, limit, overlap)
         if not cuts:
             if pauses is None:
                 pauses = [m.end() for m in PAUSE.finditer(text)]
-            cuts, kind = list(_first(admissible(text, pauses, start, limit, overlap), order)), 1
+            kind, cuts = 1, admissible(text, pauses, start, limit, overlap)
+        if not cuts:
+            kind, cuts = 2, [start + limit]
+        found[start] = (kind, cuts)
+        todo += [end - overlap for end in cuts]
+    return found
+
+
+def cut(text: str, limit: int, overlap: int, order: str = "front") -> list[tuple[int, int]]:
+    """The pieces of a text, as half-open spans that overlap by ``overlap``."""
+    if limit <= overlap:
+        raise ValueError(f"the limit {limit} must be above the overlap {overlap}")
+    n = len(text)
+    if n <= limit:
+        return [(0, n)]
+    even = n / -(-(n - overlap) // (limit - overlap))
+    starts = reachable(text, limit, overlap)
+    value: dict[int, float] = {}  # of the cheapest chain from a start on
+    chosen: dict[int, int] = {}
+    for start in sorted(starts, reverse=True):
+        kind, cuts = starts[start]
         if not cuts:
-            cuts, kind = [start + limit], 2
-        for end in cuts:
-            step = (kind, limit - (end - start)) if order == "front" else PENALTY[kind] + ((end - start - even) / limit) ** 2
-            cost, nxt = best[start] + (step,), end - overlap
-            if order == "total":
-                cost = (sum(cost),)
-            if nxt not in best:
-                heapq.heappush(todo, nxt)
-            if nxt not in best or _less(cost, best[nxt], order):
-                best[nxt], came[nxt] = cost, (start, end)
-        if order == "front":
-            del best[start]  # one chain is left: what comes after cannot change an earlier piece
-    at = last[1]
-    out = [(at, n)]
-    while at in came:
-        start, end = came[at]
-        out.append((start, end))
-        at = start
-    return out[::-1]
-
-
-def _first(ends: Iterator[int], order: str) -> Iterator[int]:
-    """Under the front order only the latest cut of a class can be part of the cheapest chain."""
-    for end in ends:
-        yield end
-        if order == "front":
-            return
-
-
-def _less(a: tuple, b: tuple, order: str) -> bool:
-    return a < b if order == "front" else sum(a) < sum(b)
+            value[start] = ((n - start - even) / limit) ** 2
+        elif order == "front":
+            _, chosen[start] = min(((kind, limit - (end - start)), end) for end in cuts)
+        else:
+            value[start], chosen[start] = min((PENALTY[kind] + ((end - start - even) / limit) ** 2 + value[end - overlap], end) for end in cuts)
+    out, at = [], 0
+    while at in chosen:
+        out.append((at, chosen[at]))
+        at = chosen[at] - overlap
+    return [*out, (at, n)]
 
 
 def pieces(df: DataFrame, keys: list[str], text: str, limit: str, overlap: str, order: str = "front") -> DataFrame:
