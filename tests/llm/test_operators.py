@@ -192,13 +192,25 @@ def test_site_lines(spark):
     df = spark.createDataFrame(data, "row_id long, site string, title string, text string, line string")
     got = rows(sitelines.occurrences(df), "row_id", "line_no")
     assert got == [(i, n) for i in range(0, 60, 3) for n in (3, 4)]
-    _, blocks = sitelines.boilerplate(df)
+    *_, blocks = sitelines.boilerplate(df)
     assert blocks.count() == 2 and blocks.select("block").distinct().count() == 1
     clean = {r.row_id: (r.text, r.removed) for r in sitelines.removed(df).collect()}
-    assert clean[0] == ("line 0\nother 0\r", 2) and clean[1] == ("line 1\nother 1\n\n", 0) and clean[2] == (None, 0) and len(clean) == 62
+    assert clean[0] == ("line 0\nother 0", 2) and clean[1] == ("line 1\nother 1\n\n", 0) and clean[2] == (None, 0) and len(clean) == 62
     assert sitelines.occurrences(df.limit(0)).count() == 0
 
 
+def test_a_block_goes_with_the_blank_lines_between_its_own(spark):
+    """Both lines stand in every row; only where they mostly follow each other is there an edge, and the blank line between them goes."""
+    def run(linked):
+        text = lambda i: f"body {i}\r\nShare this\r\n\r\nAll rights reserved\r\nend {i}" if i in linked else f"Share this\n\nbody {i}\n\nAll rights reserved\nend {i}"
+        data = [(i, "s", None, text(i)) for i in range(20)]
+        return {r.row_id: (r.text, r.removed) for r in sitelines.removed(spark.createDataFrame(data, "row_id long, site string, title string, text string")).collect()}
+
+    often = run(set(range(10)))
+    assert often[0] == ("body 0\r\nend 0", 3) and often[15] == ("\nbody 15\n\nend 15", 2)
+    assert run({0, 1, 2})[0] == ("body 0\r\n\r\nend 0", 2)  # three rows are no edge
+
+
 def test_site_lines_against_brute_force(spark):
     rng = random.Random(5)
     data = [(i, rng.choice("ab"), rng.choice(["T", f"t{i}"]), "\n".join(rng.choice(["foo", "bar", "", f"l{i}", "foo "]) for _ in range(4))) for i in range(80)]

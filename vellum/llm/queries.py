@@ -68,7 +68,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = sitelines.boilerplate(table(spark, sf_dir, "chapters_raw"))
+    *_, found = sitelines.boilerplate(table(spark, sf_dir, "chapters_raw"))
     return found.groupBy("site", "block").agg(F.count("*").alias("lines"), F.max("support").alias("support"))
 
 

@@ -3,7 +3,8 @@
 The lines of a site form a weighted graph: a node is a line by its look, weighted by the rows it stands in, and an
 edge joins two lines that follow each other in a row, weighted by the rows where they do. Nodes and edges of high
 support are kept; the connected components of what is left are the site's boilerplate blocks. A node is kept when
-it stands in at least ``least`` rows and at least ``share`` of all rows of its site.
+it stands in at least ``least`` rows and at least ``share`` of all rows of its site. Which lines are found thus follows from
+their own support; the edges tell which of them belong together, and with them the blank lines between go when a block is deleted.
 
 The nodes kept of a site number at most (mean lines of a row) / share, a bound by the threshold itself whatever
 the size of the site, so the components are found site by site; everything before is sums and joins with partial
@@ -54,11 +55,16 @@ def support(lines: DataFrame, rows: DataFrame, least: int = 5, share: float = 0.
     return counted.where((F.col("support") >= least) & (F.col("support") >= share * F.col("of"))).select("site", "line", "support", "of")
 
 
-def edges(places: DataFrame, nodes: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:
-    """``site, line, next_line, support``: kept lines that follow each other, with no other line between them, often enough."""
+def followers(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``site, of, row_id, line_no, line, next_line, next_no``: kept lines and the kept line that follows with no other line between them."""
     kept = places.join(nodes.select("site", "line", "of"), ["site", "line"])
     w = Window.partitionBy("site", "row_id").orderBy("line_no")
-    pairs = kept.withColumns({"next_line": F.lead("line").over(w), "next_no": F.lead("rank").over(w)}).where("next_no = rank + 1")
+    after = kept.withColumns({"next_line": F.lead("line").over(w), "next_no": F.lead("line_no").over(w), "_next": F.lead("rank").over(w)})
+    return after.where("_next = rank + 1").select("site", "of", "row_id", "line_no", "line", "next_line", "next_no")
+
+
+def edges(pairs: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:
+    """``site, line, next_line, support``: lines that follow each other often enough."""
     counted = pairs.select("site", "line", "next_line", "of", "row_id").distinct().groupBy("site", "line", "next_line", "of").agg(F.count("*").alias("support"))
     return counted.where((F.col("support") >= least) & (F.col("support") >= share * F.col("of"))).drop("of")
 
@@ -83,31 +89,38 @@ def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("site", "line", "support").groupBy("site").cogroup(edges.groupBy("site")).applyInPandas(components, "site string, line binary, support long, block string")
 
 
-def boilerplate(df: DataFrame, least: int = 5, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """``(places, blocks)``: every occurrence (site, row_id, line_no, line) of a boilerplate line, and the blocks of each site."""
+def boilerplate(df: DataFrame, least: int = 5, share: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(places, pairs, edges, blocks)``: all lines by place, the kept lines that follow each other, the kept edges, and the blocks of each site."""
     places = written(lines(df), "lines")
     nodes = written(support(places, df.select("site"), least, share), "nodes")
-    found = blocks(nodes, edges(places, nodes, least, share))
-    return places.join(nodes.select("site", "line"), ["site", "line"], "left_semi"), found
+    pairs = followers(places, nodes)
+    links = written(edges(pairs, least, share), "edges")
+    return places, pairs, links, blocks(nodes, links)
 
 
 def occurrences(df: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:
-    """``row_id, line_no`` of every boilerplate line, through the blocks of the line graph."""
-    places, found = boilerplate(df, least, share)
+    """``row_id, line_no`` of every line of a boilerplate block."""
+    places, _, _, found = boilerplate(df, least, share)
     return places.join(found.select("site", "line"), ["site", "line"], "left_semi").select("row_id", "line_no")
 
 
 def removed(df: DataFrame, least: int = 5, share: float = 0.05) -> DataFrame:
-    """``row_id, title, text, removed``: every document without its boilerplate lines; line ends that stay are kept as they are.
-
-    A title that is boilerplate becomes null; a text of boilerplate alone becomes empty; null texts stay null."""
-    gone = occurrences(df, least, share).groupBy("row_id").agg(F.collect_set("line_no").alias("gone"))
+    """``row_id, title, text, removed``: every document without its boilerplate blocks, the blank lines within a block included.
+
+    Each line goes with its own line end, the last one with the end before it; all else stays as it is. A title that is boilerplate
+    becomes null; a text of boilerplate alone becomes empty; null texts stay null."""
+    places, pairs, links, found = boilerplate(df, least, share)
+    own = places.join(found.select("site", "line"), ["site", "line"], "left_semi").select("row_id", "line_no")
+    within = pairs.join(links, ["site", "line", "next_line"], "left_semi").where("next_no > line_no + 1")
+    blank = within.select("row_id", F.explode(F.sequence(F.col("line_no") + 1, F.col("next_no") - 1)).alias("line_no"))
+    gone = own.unionByName(blank).groupBy("row_id").agg(F.collect_set("line_no").alias("gone"))  # lines of one document
     out = df.select("row_id", "title", "text").join(gone, "row_id", "left")
     gone_or_none = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone_or_none, i + 1))
+    parts = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone_or_none, i + 1)), "\n")
     return out.select(
         "row_id",
         F.when(~F.array_contains(gone_or_none, 0), F.col("title")).alias("title"),
-        F.array_join(kept, "\n").alias("text"),
+        F.when(F.array_contains(gone_or_none, F.size(parts)), F.regexp_replace(kept, "\r$", "")).otherwise(kept).alias("text"),
         F.size(gone_or_none).alias("removed"),
     )
