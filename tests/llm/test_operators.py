@@ -36,6 +36,22 @@ def test_alike_pairs_of_a_hot_class(spark):
     assert got.count() == 8 * 392
 
 
+def test_a_class_of_many_strings_is_parted(spark, monkeypatch):
+    monkeypatch.setattr(look, "PART", 10)
+    blanks = " \u00a0\u2002\u2003\u2009\u3000"
+    data = [("t", i, "a" + blanks[i % 6] + "b" + blanks[i // 6 % 6] + "c" + blanks[i // 36] + "d") for i in range(100)] + [("t", 100 + i, "a b c d") for i in range(3)]
+    got = look.alike_pairs(spark.createDataFrame(data, "table_name string, row_id long, text string"))
+    want = sum(data[i][2] != data[j][2] for i in range(103) for j in range(i))
+    assert got.count() == got.distinct().count() == want
+
+
+def test_looks_of_many_scripts(spark):
+    pairs = [("Ꭺ", "A"), ("ꓢ", "S"), ("𝐀", "A"), ("𝖠", "A"), ("Օ", "O"), ("ᗅ", "A"), ("ⲟ", "o"), ("µ", "μ"), ("ﻋ", "ع"), ("𝛼", "a")]
+    differ = [("²", "2"), ("①", "1"), ("ₐ", "a"), ("門", "门"), ("É", "E"), ("︽", "《"), ("㎝", "cm")]
+    df = spark.createDataFrame([(str(i), k, c) for i, p in enumerate(pairs + differ) for k, c in enumerate(p)], "table_name string, row_id long, text string")
+    assert sorted(int(r.table_name) for r in look.alike_pairs(df).collect()) == list(range(len(pairs)))
+
+
 def test_canonical_keeps_nulls_and_clashing_names(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Ａ ﬁ…")], "k0 long, t string")
     assert rows(look.canonical(df, ["k0"], "t"), "k0", "look_text")[1:] == [(2, ""), (3, "A fi...")]
@@ -444,3 +460,20 @@ def test_queries_run_and_keep_their_columns(spark, small):
     for name, columns in want.items():
         df = all_queries[name](spark, small)
         assert set(df.columns) == columns and df.count() > 0, name
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_classes", "p1_canonical", "p4_found", "p6_decoded"])
+def test_queries_agree_with_their_sql(spark, small, name):
+    from pathlib import Path
+
+    from vellum.llm import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for p in Path(small).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = queries.queries()[name](spark, small)
+    columns = sorted(df.columns)
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == columns
+    assert sorted(map(repr, df.select(columns).collect())) == sorted("Row(" + ", ".join(f"{c}={v!r}" for c, v in zip(columns, r)) + ")" for r in want.select(*columns).fetchall())

@@ -5,7 +5,7 @@
 * line ends of any kind become LF, blanks of any kind a space (one for one);
 * characters that cannot be seen (zero-width, joiners, soft hyphen, controls, variation selectors) vanish;
 * full-width, half-width and no-break forms, radicals and presentation ligatures become the plain form;
-* letters drawn like a Latin letter (Cyrillic, Greek and a few more) become that letter;
+* letters drawn like a Latin letter (of other alphabets, and of the mathematical styles) become that letter;
 * what is left is composed (NFC), which also unifies compatibility ideographs.
 
 Case, simplified against traditional form, raised and circled figures and all other visible marks are kept.
@@ -17,6 +17,7 @@ input, whatever their names, are dropped before any work.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -33,6 +34,16 @@ ALIKE = (
     # Greek
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ΆÁ ΈÉ ΌÓ ΊÍ ΎÝ "
     "αa γy ιi νv οo ρp υu ϲc ϳj άá ίí όó ύú "
+    # Armenian
+    "ՕO ՏS ԼL օo ոn սu հh ցg զq յj "
+    # Cherokee
+    "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏴB ᏦK "
+    # Lisu
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
+    # Coptic
+    "ⲀA ⲂB ⲈE ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲟo ⲢP ⲣp ⲤC ⲥc ⲦT ⲨY ⲬX ⲭx "
+    # Canadian syllabics
+    "ᗅA ᗩA ᗷB ᑕC ᗪD ᕼH ᒍJ ᒪL ᗰM ᑭP ᖇR ᑌU ᐯV "
     # Latin letters of other blocks
     "ɑa ɡg ɩi ʏY ⅼl ⅽc ⅾd ⅿm ⅰi ⅴv ⅹx ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM"
 ).split()
@@ -48,24 +59,49 @@ UNSEEN = (
     r"[\x{0}-\x{8}\x{E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}"
     r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}]"
 )
+#: Different strings of one look that are paired in one task with all others of it.
+PART = 500
 LINE_ENDS = r"\r\n?|[\x{B}\x{C}\x{85}\x{2028}\x{2029}]"
 
 
+#: Unicode's own marks of what is a character in another style, width or position, drawn like it otherwise. Raised, lowered, circled,
+#: upright, small and squared forms are visible differences, and so are most of those without a mark of their own (the micro sign is not).
+STYLES = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<final>", "<initial>", "<medial>")
+
+
 @cache
 def one_to_one() -> dict[str, str]:
-    """Character to character: widths, blanks and radicals by Unicode's own rules, then the letters drawn alike."""
+    """Character to character: widths, blanks, styles and radicals by Unicode's own rules, then the letters drawn alike."""
+    alike = {pair[0]: pair[1] for pair in ALIKE}
     out = {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
         tag = unicodedata.decomposition(c).partition(" ")[0]
         if unicodedata.category(c) == "Zs":
             out[c] = " "
-        elif tag in ("<wide>", "<narrow>", "<noBreak>") or 0x2E80 <= code <= 0x2FDF:
+        elif tag in STYLES or 0x2E80 <= code <= 0x2FDF:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain != c:
-                out[c] = plain
-    out |= {"\t": " ", "‐": "-", "‑": "-", "〜": "~", "～": "~"}
-    return out | {pair[0]: pair[1] for pair in ALIKE}
+                out[c] = alike.get(plain, plain)
+    return out | {"\t": " ", "µ": "μ", "￣": "¯", "‐": "-", "‑": "-", "〜": "~", "～": "~"} | alike
+
+
+@cache
+def seldom() -> frozenset[str]:
+    """Of these what hardly any text holds: looked for first, so that the usual ones stay few."""
+    often = lambda c: c < "\u0530" or "\u2000" <= c < "\u2200" or "\u2e80" <= c < "\u3100" or c >= "\uff00" and c < "\U00010000"
+    return frozenset(c for c in one_to_one() if not often(c))
+
+
+def char_class(chars: frozenset[str]) -> str:
+    """A character class of code points as ranges, both of RE2 and of Java."""
+    out, run = [], []
+    for code in [*sorted(map(ord, chars)), -1]:
+        if run and code != run[-1] + 1:
+            out.append(f"\\x{{{run[0]:X}}}-\\x{{{run[-1]:X}}}")
+            run = []
+        run.append(code)
+    return "[" + "".join(out) + "]"
 
 
 def quoted(text: str) -> str:
@@ -75,10 +111,11 @@ def quoted(text: str) -> str:
 @cache
 def fold_sql(column: str) -> str:
     """The embedded SQL expression for the look of ``column``."""
-    table = one_to_one()
+    usual, rare = ({c: v for c, v in one_to_one().items() if (c in seldom()) == which} for which in (False, True))
     x = f"regexp_replace({column}, '{LINE_ENDS}', chr(10), 'g')"
     x = f"regexp_replace({x}, '{UNSEEN}', '', 'g')"
-    x = f"translate({x}, {quoted(''.join(table))}, {quoted(''.join(table.values()))})"
+    x = f"translate({x}, {quoted(''.join(usual))}, {quoted(''.join(usual.values()))})"
+    x = f"CASE WHEN regexp_matches({column}, '{char_class(seldom())}') THEN translate({x}, {quoted(''.join(rare))}, {quoted(''.join(rare.values()))}) ELSE {x} END"
     several = x
     for item in SEVERAL:
         one, many = item.split("=")
@@ -119,8 +156,12 @@ def alike_pairs(df: DataFrame, group: str = "table_name", row: str = "row_id", t
     several = digests.groupBy("group_key", "look").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high")
     rows = digests.join(several.select("group_key", "look"), ["group_key", "look"], "left_semi")
     strings = rows.select("group_key", "look", "raw").distinct()
-    a, b = (strings.select("group_key", "look", F.col("raw").alias(f"raw_{s}")) for s in "ab")
-    kinds = a.join(b, ["group_key", "look"]).where("raw_a < raw_b")
+    # a class of many strings is parted: each of its parts meets the whole class in a task of its own
+    parts = strings.groupBy("group_key", "look").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    sized = strings.join(parts, ["group_key", "look"])
+    a = sized.select("group_key", "look", F.pmod(F.xxhash64("raw"), F.col("parts")).cast("int").alias("part"), F.col("raw").alias("raw_a"))
+    b = sized.select("group_key", "look", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("raw").alias("raw_b"))
+    kinds = a.join(b, ["group_key", "look", "part"]).where("raw_a < raw_b").drop("part")
     of = lambda s: rows.select("group_key", "look", F.col("raw").alias(f"raw_{s}"), F.col("row_id").alias(f"row_{s}"))
     pairs = kinds.join(of("a"), ["group_key", "look", "raw_a"]).join(of("b"), ["group_key", "look", "raw_b"])
     return pairs.select(
