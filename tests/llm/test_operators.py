@@ -385,6 +385,37 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), t).count() == 0 and leaks.leaks(d, t.limit(0)).count() == 0
 
 
+def test_short_items_are_held_whole(spark):
+    docs = [(1, "before, Quince jelly; after it all"), (2, "jelly quince"), (3, "他说银票市价涨了"), (4, "quince"), (5, "银票"), (6, None)]
+    items = [(1, "quince jelly"), (2, "银票市价"), (3, "…!"), (4, "")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(leaks.leaks(d, t), "doc_id", "item_id") == [(1, 1), (3, 2)]
+
+
+def test_recall_of_sampled_sketches(spark):
+    """Items of 300 to 5,000 shingles, of which a sketch keeps a part: against the exact search, and against what was planted."""
+    sizes = [300, 500, 800, 1300, 2100, 3400, 5000]
+    items = [(k, words(1000 + k, n)) for k, n in enumerate(sizes * 6)]
+    docs = []
+    for k, item in items:
+        a, b = len(item) // 10, len(item) // 10 + len(item) * 9 // 40  # two stretches of nine fortieths
+        docs.append((k, " ".join(words(5000 + k, 200) + item[a:b] + words(7000 + k, 300) + item[-(b - a) :] + words(9000 + k, 50))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    simplify = tuple(leaks.S.simplified(spark).items())
+    kept = {r.item_id: r.n for r in leaks.sketches(t, "item_id", "text", simplify).groupBy("item_id").count().withColumnRenamed("count", "n").collect()}
+    assert all(kept[k] < len(x) - 4 for k, x in items if len(x) > 300) and max(kept.values()) < 350
+    exact, sampled = (set(rows(leaks.leaks(d, t, most=m), "doc_id", "item_id")) for m in (None, leaks.SKETCH))
+    assert exact == {(k, k) for k, _ in items} and len(sampled & exact) >= 0.95 * len(exact) and sampled <= exact
+
+
+def test_sketches_joined_by_value(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BROADCAST_VALUES", 0)
+    item = words(77, 60)
+    d = spark.createDataFrame([(i, " ".join(words(i, 30) + item)) for i in range(40)], "doc_id long, text string")
+    assert leaks.leaks(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count() == 40
+
+
 def test_leaks_across_scripts(spark):
     a, b = "那年冬天岑望舒独自部署备份好在缓存经得起细看陆衡远与尹云岫约在青石河湾", "那年冬天，岑望舒獨自部署備份；好在緩存經得起細看。陸衡遠與尹雲岫約在青石河灣"
     d = spark.createDataFrame([(1, b)], "doc_id long, text string")

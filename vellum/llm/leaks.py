@@ -7,15 +7,15 @@ however long, is asked for every one of those values at once: its whole shingle
 within it is found by containment, where a signature of the long text would drown it. Pairs that share enough of a
 sketch are only candidates; they are decided by an alignment of the item's words with the text's: maximal equal runs
 of words are chained over a few changed words into stretches, and the few longest stretches must cover two fifths of
-the item. Stretches no longer than a phrase do not count.
+the item. Stretches no longer than a phrase do not count. With ``sketch=None`` every hash is kept, and the search is exact.
 
-The values of all sketches also set bits of a filter of fixed size (``FILTER_BITS``), the only thing sent to
+The values of all sketches also set bits of a filter, sized by their number up to ``MOST_BITS``, the only thing sent to
 every worker, so that corpus texts leave behind only values that some item has; those are joined with the sketches by
-value and counted by (text, item), with partial sums before the exchange. A phrase that many items share makes a
-value frequent, not a group: no task sees more than its share of sums.
+value and counted by (text, item), with partial sums before the exchange. Sketches too many to broadcast are spread over
+``SALTS`` copies, so that a value that many texts hold is in no single task.
 
-Defined cases: null, empty and blank texts and items match nothing, nor do rows with null ids; an item of fewer words than a shingle matches
-nothing; equal texts under several ids are each reported, as are equal items.
+Defined cases: null, empty and blank texts and items match nothing, nor do rows with null ids; an item of fewer words than a shingle is
+held where all of its words stand in a row; equal texts under several ids are each reported, as are equal items.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ from vellum.llm import shingles as S
 from vellum.session import spread, written
 
 SKETCH = 128
-FILTER_BITS = 24
+#: Bits of the filter for each value, and how many it has at most (32 MB), in powers of two.
+SPARSE, MOST_BITS = 4, 28
+#: Bytes of the filter that are put together in one task.
+BLOCK = 1 << 16
+SALTS = 8
 #: An item counts as held from this share of its words.
 SHARE = 0.4
 #: A pair is aligned from this share of its sketch: two fifths in three stretches with six changed words keep a tenth.
@@ -46,6 +50,9 @@ CHARS = 1_000_000
 BROADCAST_VALUES = 1_000_000
 
 
+USUAL = ((S.WORDS, False), (S.CHARACTERS, True))
+
+
 @lru_cache(maxsize=2)
 def _tables(simplify: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     return S.letters(dict(simplify))
@@ -64,9 +71,9 @@ def portions(texts: list[str | None], most: int = CHARS) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def hashed(texts: list[str | None], simplify: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(token: np.ndarray, single: np.ndarray, text: np.ndarray, widths: tuple[tuple[int, bool], ...] = USUAL) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of text) of the distinct shingles of each text, sorted by text."""
-    h, _, _, t = S.shingles(*S.tokens(texts, _tables(simplify)))
+    h, _, _, t = S.shingles(token, single, text, widths)
     if not len(h):
         return h, t
     order = np.lexsort((h, t))
@@ -75,52 +82,80 @@ def hashed(texts: list[str | None], simplify: tuple[tuple[int, int], ...]) -> tu
     return h[new], t[new]
 
 
-def sketches(items: DataFrame, key: str, text: str, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
-    """``item_id, value, size``: the values of every item's sketch, and how many they are."""
+def width(single: np.ndarray) -> int:
+    """The size of the shingle that begins with an item's first word."""
+    return S.CHARACTERS if single[0] else S.WORDS
+
+
+def sketches(items: DataFrame, key: str, text: str, simplify: tuple[tuple[int, int], ...], most: int | None = SKETCH) -> DataFrame:
+    """``item_id, value, size, width``: the values of every item's sketch, how many they are, and the size of a short item that is one shingle."""
     own = items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
             for a, b in portions(texts):
-                h, t = hashed(texts[a:b], simplify)
+                token, single, text = S.tokens(texts[a:b], _tables(simplify))
+                h, t = hashed(token, single, text)
                 n = np.bincount(t, minlength=b - a)
-                size_class = np.floor(np.log2(np.maximum(n, 1)))
-                rate = np.minimum(1.0, SKETCH / 2.0**size_class)
-                keep = (h >> np.uint64(11)).astype("float64") < rate[t] * 2.0**53
-                h, t = h[keep], t[keep]
+                if most is not None:
+                    size_class = np.floor(np.log2(np.maximum(n, 1)))
+                    rate = np.minimum(1.0, most / 2.0**size_class)
+                    keep = (h >> np.uint64(11)).astype("float64") < rate[t] * 2.0**53
+                    h, t = h[keep], t[keep]
+                small = np.zeros(len(t), "int32")
+                for i in np.flatnonzero(n == 0):  # the whole of a short item, if it has any word
+                    x, y = np.searchsorted(text, [i, i + 1])
+                    if y > x:
+                        size = int(y - x) if single[x] else -int(y - x)
+                        one, _, _, _ = S.shingles(token[x:y], single[x:y], text[x:y], ((abs(size), bool(single[x])),))
+                        h, t, small = np.append(h, one), np.append(t, i), np.append(small, np.int32(size))
                 kept = np.bincount(t, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][t]), pa.array(h.view("int64")), pa.array(kept[t].astype("int32"))], ["item_id", "value", "size"])
+                columns = [pa.array(ids[a:b][t]), pa.array(h.view("int64")), pa.array(kept[t].astype("int32")), pa.array(small.astype("int32"))]
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "value", "size", "width"])
 
-    return own.mapInArrow(run, "item_id long, value long, size int")
+    return own.mapInArrow(run, "item_id long, value long, size int, width int")
 
 
-def filter_of(sketch: DataFrame) -> bytes:
-    """The filter of all values: 2 ** FILTER_BITS bits, whatever the number of items."""
+def filter_of(sketch: DataFrame, count: int) -> tuple[bytes, int]:
+    """The filter of all values and its size in powers of two. Blocks of it are put together by the executors."""
+    power = min(MOST_BITS, max(19, int(np.ceil(np.log2(max(1, count)))) + SPARSE))
+    shift = np.uint64(64 - power)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << power) // 8, "uint8")
         for batch in batches:
-            bits[batch.column(0).to_numpy().view("uint64") >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+            at = batch.column(0).to_numpy().view("uint64") >> shift
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype("int64"), (np.uint8(128) >> (at & np.uint64(7)).astype("uint8")))
+        blocks = bits.reshape(-1, BLOCK)
+        full = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype("int32")), pa.array([blocks[i].tobytes() for i in full], pa.binary())], ["block", "bits"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        out = np.zeros(BLOCK, "uint8")
+        for x in table.column("bits").to_pylist():
+            out |= np.frombuffer(x, "uint8")
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
-    out = np.zeros((1 << FILTER_BITS) // 8, "uint8")
-    for row in sketch.select("value").coalesce(4).mapInArrow(run, "bits binary").collect():  # at most four filters
-        out |= np.frombuffer(row.bits, "uint8")
-    return out.tobytes()
+    out = np.zeros((1 << power) // 8, "uint8")
+    for row in sketch.select("value").mapInArrow(parts, "block int, bits binary").groupBy("block").applyInArrow(joined, "block int, bits binary").collect():  # at most 32 MB
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.bits, "uint8")
+    return out.tobytes(), power
 
 
-def met(docs: DataFrame, key: str, text: str, bits, simplify: tuple[tuple[int, int], ...]) -> DataFrame:
+def met(docs: DataFrame, key: str, text: str, bits, power: int, simplify: tuple[tuple[int, int], ...], widths: tuple[tuple[int, bool], ...] = USUAL) -> DataFrame:
     """``doc_id, value``: the shingle values of each text that the filter lets through."""
     own = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    shift = np.uint64(64 - power)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bits.value, "uint8")).view(bool)
+        known = np.frombuffer(bits.value, "uint8")
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy()
             for a, b in portions(texts):
-                h, _, _, t = S.shingles(*S.tokens(texts[a:b], _tables(simplify)))
-                hit = known[h >> np.uint64(64 - FILTER_BITS)]
+                h, _, _, t = S.shingles(*S.tokens(texts[a:b], _tables(simplify)), widths)
+                at = h >> shift
+                hit = (known[(at >> np.uint64(3)).astype("int64")] >> (np.uint64(7) - (at & np.uint64(7))).astype("uint8")) & 1 > 0
                 h, t = h[hit], t[hit]
                 order = np.lexsort((h, t))
                 h, t = h[order], t[order]
@@ -133,7 +168,7 @@ def met(docs: DataFrame, key: str, text: str, bits, simplify: tuple[tuple[int, i
 
 def grams(token: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first token, size) of every run of ``RUN`` tokens, sorted by hash."""
-    h, at, size, _ = S.shingles(token, single, np.zeros(len(token), "int64"), RUN)
+    h, at, size, _ = S.shingles(token, single, np.zeros(len(token), "int64"), ((RUN[0], False), (RUN[1], True)))
     order = np.argsort(h, kind="stable")
     return h[order], at[order], size[order]
 
@@ -184,7 +219,9 @@ def stretches(found: list[tuple[int, int, int]], single: np.ndarray) -> list[tup
 
 
 def covered(found: list[tuple[int, int, int]], single: np.ndarray) -> float:
-    """The share of an item's tokens within the few longest stretches that are more than a phrase."""
+    """The share of an item's tokens within the few longest stretches that are more than a phrase; a candidate that is one short shingle is held whole."""
+    if 0 < len(single) < width(single):
+        return 1.0
     held, few = np.zeros(len(single), bool), 0
     for equal, a, b in stretches(found, single):
         phrase = PHRASE[int(single[a:b].mean() > 0.5)]
@@ -218,15 +255,23 @@ def verified(pairs: DataFrame, share: float, simplify: tuple[tuple[int, int], ..
     return pairs.select("doc_id", "item_id", "text", "passage").mapInArrow(run, "doc_id long, item_id long, share double").where(F.col("share") >= share)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """``doc_id, item_id, share``: every text that holds at least ``share`` of an item's words."""
+def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = SHARE, most: int | None = SKETCH) -> DataFrame:
+    """``doc_id, item_id, share``: every text that holds at least ``share`` of an item's words. ``most`` is the least size of a sketch, or None for all hashes."""
     spark = docs.sparkSession
     simplify = tuple(S.simplified(spark).items())
-    sketch = written(sketches(items, item, text, simplify), "sketches")
-    bits = spark.sparkContext.broadcast(filter_of(sketch))
-    # sketches of a checked size go to the texts, so that a value many texts hold is no hot key; more are joined by value
-    side = F.broadcast(sketch) if sketch.count() <= BROADCAST_VALUES else sketch
-    shared = met(docs, doc, text, bits, simplify).join(side, "value").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    sketch = written(sketches(items, item, text, simplify, most), "sketches")
+    count = sketch.count()
+    raw, power = filter_of(sketch, count)
+    bits = spark.sparkContext.broadcast(raw)
+    short = tuple((abs(r.width), r.width > 0) for r in sketch.where("width <> 0").select("width").distinct().orderBy("width").collect())  # at most eleven sizes
+    values = met(docs, doc, text, bits, power, simplify, (*USUAL, *short))
+    sketch = sketch.select("item_id", "value", "size")
+    if count <= BROADCAST_VALUES:
+        hits = values.join(F.broadcast(sketch), "value")
+    else:
+        salted = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = values.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["value", "salt"])
+    shared = hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     found = written(shared.where(F.col("n") >= F.lit(CANDIDATE) * F.col("size")).select("doc_id", "item_id"), "leak-pairs")
     passages = items.select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("passage"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -107,12 +107,14 @@ def tokens(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]) -> tu
     return token, single[first], text[first]
 
 
-def shingles(token: np.ndarray, single: np.ndarray, text: np.ndarray, widths: tuple[int, int] = (WORDS, CHARACTERS)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, index of its first token, size in tokens, index of its text) of every shingle; none crosses a text's end."""
+def shingles(token: np.ndarray, single: np.ndarray, text: np.ndarray, widths: tuple[tuple[int, bool], ...] = ((WORDS, False), (CHARACTERS, True))) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index of its first token, size in tokens, index of its text) of every shingle; none crosses a text's end.
+
+    ``widths`` names sizes, each with whether it is for shingles that begin with a character that is a token alone."""
     n = len(token)
     hashes, starts, sizes = [], [], []
     with np.errstate(over="ignore"):
-        for k, of_single in zip(widths, (False, True)):
+        for k, of_single in widths:
             if n < k:
                 continue
             at = np.flatnonzero((single[: n - k + 1] == of_single) & (text[: n - k + 1] == text[k - 1 :]))
