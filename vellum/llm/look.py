@@ -17,7 +17,6 @@ input, whatever their names, are dropped before any work.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -69,12 +68,16 @@ LINE_ENDS = r"\r\n?|[\x{B}\x{C}\x{85}\x{2028}\x{2029}]"
 STYLES = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<isolated>", "<final>", "<initial>", "<medial>")
 
 
+#: Beyond the basic plane: the mathematical styles, and figures in segments.
+STYLED = (*range(0x1D400, 0x1D800), *range(0x1EE00, 0x1EF00), *range(0x1FBF0, 0x1FC00))
+
+
 @cache
 def one_to_one() -> dict[str, str]:
     """Character to character: widths, blanks, styles and radicals by Unicode's own rules, then the letters drawn alike."""
     alike = {pair[0]: pair[1] for pair in ALIKE}
     out = {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in [*range(0x80, 0x10000), *STYLED]:
         c = chr(code)
         tag = unicodedata.decomposition(c).partition(" ")[0]
         if unicodedata.category(c) == "Zs":

@@ -8,10 +8,13 @@ and written; what follows reads them.
    a feature stands in documents of a subject than in all others of its script. Weak or chance weights are left out.
 2. Expectation-maximization over the sentences of all documents, labelled or not: each sentence belongs to a subject
    or to none, and features are counted by these posteriors, so that words used in passing, or in a figure of
-   speech that any document has, lose their weight.
-3. The last step scores each subject against its complement, independently of the others: a document has a subject
-   when at least ``SHARE`` of its sentences have a posterior above one half, and above that of no subject. On the labelled sample a logistic
-   calibration turns the share into the probability that a labeller names the subject.
+   speech that any document has, lose their weight. It stops after ``ROUNDS``: the likelihood goes on rising, but classes then
+   drift away from what the labels mean.
+3. Each subject is scored by itself: the lesser of its evidence against its complement and against no subject. On the labelled
+   sample these scores are calibrated, subject by subject, to the posterior that a sentence is about the subject; labels are of
+   documents, so their rate among sentences runs from a floor (sentences of other documents) to a ceiling (labels left out or wrong), and the
+   posterior is where between them a score lies. A sentence is about every subject with a posterior of at least one half, and a
+   document has a subject when at least ``SHARE`` of its sentences are about it.
 
 What goes to the workers is the weight table, at most ``1 << BITS`` rows whatever the corpus.
 
@@ -40,7 +43,8 @@ LABELLED = 20_000  # documents of the labelled sample at most
 BITS = 20
 PART_BITS = BITS - 2
 SHARE = 1 / 6
-ROUNDS = 2  # of expectation-maximization before the last step
+ROUNDS = 2  # of expectation-maximization
+CLIP = 12  # scores beyond this much evidence (natural logarithms) are as good as certain
 SMOOTH = 0.05
 KANA = re.compile("[぀-ヿ]+")
 WIDE = re.compile("[Ａ-Ｚａ-ｚ０-９]+")
@@ -237,11 +241,23 @@ def maximized(bucket: np.ndarray, n: np.ndarray, sentences: np.ndarray, k: int,
     return (bucket, np.hstack([weight[:, :k], log_p]).astype("float32")), np.hstack([np.log(alone / (1 - alone)), np.log(prior)])
 
 
-def shares(featured: DataFrame, weights, k: int, least: float) -> DataFrame:
-    """``doc_id, subject_no, share``: the share of a document's sentences about a subject, from ``least`` on."""
+def evidence(s: np.ndarray, k: int) -> np.ndarray:
+    """The score of each subject by itself: against its complement, and against no subject, whichever is less."""
+    return np.minimum(s[:, :k], s[:, k : 2 * k] - s[:, 2 * k :])
+
+
+def posterior(z: np.ndarray, slope: float, middle: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * (z - middle), -50, 50)))
+
+
+def shares(featured: DataFrame, weights, calibrated, k: int, least: float) -> DataFrame:
+    """``doc_id, subject_no, share, probability``: the share of a document's sentences that are about a subject, from ``least`` on, and the mean of their posteriors.
+
+    ``calibrated`` is a broadcast (slope, middle of each subject)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, prior = weights.value
+        slope, middle = calibrated.value
         table = placed(model)
         for batch in sliced(batches):
             values, sentence, doc, per_doc = unfolded(batch)
@@ -249,13 +265,13 @@ def shares(featured: DataFrame, weights, k: int, least: float) -> DataFrame:
             if not n:
                 continue
             s, _, has = scores(table, prior, values, sentence, n)
-            # more likely than not against all other classes together, and likelier than no subject at all
-            about = (s[:, :k] > 0) & (s[:, k : 2 * k] > s[:, 2 * k :]) & has[:, None]
-            share = np.stack([np.bincount(doc, weights=about[:, c], minlength=batch.num_rows) for c in range(k)], 1) / np.maximum(1, per_doc)[:, None]
+            p = posterior(evidence(s, k), slope, middle) * has[:, None]
+            size = np.maximum(1, per_doc)[:, None]
+            share, mean = (np.stack([np.bincount(doc, weights=x[:, c], minlength=batch.num_rows) for c in range(k)], 1) / size for x in (p >= 0.5, p))
             d, c = np.nonzero((share >= least - 1e-9) & (share > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(c.astype("int32")), pa.array(share[d, c])], ["doc_id", "subject_no", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array(c.astype("int32")), pa.array(share[d, c]), pa.array(mean[d, c])], ["doc_id", "subject_no", "share", "probability"])
 
-    return featured.mapInArrow(run, "doc_id long, subject_no int, share double")
+    return featured.mapInArrow(run, "doc_id long, subject_no int, share double, probability double")
 
 
 def label_sample(labels: DataFrame, subjects: list[str], doc: str, subject: str, most: int = LABELLED) -> DataFrame:
@@ -266,22 +282,56 @@ def label_sample(labels: DataFrame, subjects: list[str], doc: str, subject: str,
     return masks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def calibration(found: DataFrame, sample: DataFrame, k: int) -> tuple[float, float]:
-    """Slope and offset of P(label) over the logarithm of the share, by Newton steps on the labelled sample (bounded)."""
-    rows = found.join(F.broadcast(sample), "doc_id").select("share", F.expr("shiftright(mask, subject_no) & 1L").alias("y")).groupBy(F.round("share", 2).alias("x")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).toPandas()
-    x, y, n = (rows[c].to_numpy("float64") for c in "xyn")
-    x = np.log(np.maximum(x, 0.01) / SHARE)
-    a, b = 1.0, 0.0
-    for _ in range(25 if len(x) else 0):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        g = np.array([((y - n * p) * x).sum() - 1e-3 * a, (y - n * p).sum() - 1e-3 * b])
-        w = n * p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+def score_counts(featured: DataFrame, sample: DataFrame, weights, k: int) -> np.ndarray:
+    """(subject, score from -CLIP to CLIP, [sentences, those of documents labelled so]) of the labelled sample, k * (2 * CLIP + 1) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, prior = weights.value
+        table = placed(model)
+        out = np.zeros((k, 2 * CLIP + 1, 2), "int64")
+        for batch in sliced(batches):
+            values, sentence, doc, _ = unfolded(batch)
+            if not len(doc):
+                continue
+            s, _, has = scores(table, prior, values, sentence, len(doc))
+            z = np.clip(np.rint(evidence(s, k)[has]), -CLIP, CLIP).astype("int64") + CLIP
+            named = (batch.column("mask").to_numpy(zero_copy_only=False)[doc[has]][:, None] >> np.arange(k)) & 1
+            for c in range(k):
+                out[c, :, 0] += np.bincount(z[:, c], minlength=2 * CLIP + 1)
+                out[c, :, 1] += np.bincount(z[:, c], weights=named[:, c], minlength=2 * CLIP + 1).astype("int64")
+        c, at = np.nonzero(out[:, :, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.astype("int32"), at.astype("int32"), out[c, at, 0], out[c, at, 1])], ["c", "at", "n", "y"])
+
+    counted = featured.join(F.broadcast(sample), "doc_id").select("features", "sizes", "mask").mapInArrow(run, "c int, at int, n long, y long")
+    out = np.zeros((k, 2 * CLIP + 1, 2))
+    for r in counted.groupBy("c", "at").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect():
+        out[r["c"], r["at"]] = r["n"], r["y"]
+    return out
+
+
+def calibration(counts: np.ndarray) -> tuple[float, np.ndarray]:
+    """(slope, middle of each subject) of the posterior, the likeliest on a grid under weak priors; (1, 0) where nothing is labelled.
+
+    The floor and the ceiling of the labels are their rates among the scores beyond all doubt."""
+    k = len(counts)
+    z = np.arange(-CLIP, CLIP + 1.0)
+    total = counts.sum(0)
+    sure = total[-3:].sum(0)
+    if not sure[0] or not total[:3, 0].sum():
+        return 1.0, np.zeros(k)
+    floor, ceiling = (total[:3, 1].sum() + 0.5) / (total[:3, 0].sum() + 1), (sure[1] + 0.5) / (sure[0] + 1)
+    middles, slopes = np.linspace(-6, 8, 57), np.geomspace(0.1, 4, 25)
+
+    def likelihood(c: np.ndarray, slope: float) -> np.ndarray:
+        p = floor + (ceiling - floor) * posterior(z[None, :], slope, middles[:, None])
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return (c[:, 1] * np.log(p) + (c[:, 0] - c[:, 1]) * np.log(1 - p)).sum(1)
+
+    together = np.stack([likelihood(total, a) - 0.5 * np.log(a) ** 2 - 0.5 * (middles / 3) ** 2 for a in slopes])
+    i, j = np.unravel_index(together.argmax(), together.shape)
+    slope, common = float(slopes[i]), float(middles[j])
+    own = [middles[(likelihood(c, slope) - 0.5 * (middles - common) ** 2).argmax()] for c in counts]
+    return slope, np.array(own)
 
 
 def subject_shares(docs: DataFrame, subjects: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", subject: str = "subject", least: float = SHARE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -299,7 +349,6 @@ def subject_shares(docs: DataFrame, subjects: DataFrame, labels: DataFrame, doc:
     for turn in range(rounds):
         bucket, n, sentences = expected(featured, weights, k, turn == 0)
         weights = cast(maximized(bucket, n, sentences, k, turn == rounds - 1))
-    found = shares(featured, weights, k, 0.0 if least <= 0 else least)
-    a, b = calibration(shares(featured.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), weights, k, 0.0), sample, k)
+    found = shares(featured, weights, cast(calibration(score_counts(featured, sample, weights, k))), k, 0.0 if least <= 0 else least)
     name = reduce(lambda x, i: x.when(F.col("subject_no") == i, names[i]), range(1, k), F.when(F.col("subject_no") == 0, names[0]))
-    return found.select("doc_id", name.alias("subject"), "share", (1 / (1 + F.exp(-(a * F.log(F.col("share") / SHARE) + b)))).alias("probability")), sample
+    return found.select("doc_id", name.alias("subject"), "share", "probability"), sample
