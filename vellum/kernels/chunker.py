@@ -149,7 +149,8 @@ def quote_units(text: str, spans: Sequence[Span], most: int) -> list[tuple[int,
     if not quotes:
         return [(a, b, False) for a, b in spans]
     cuts = sorted({x for q in quotes for x in q})
-    begins = [q[0] for q in quotes]
+    around: list[Span] = []  # the quotes open at a piece
+    met = 0
     units: list[list] = []
     for a, b in spans:
         points = [a, *cuts[bisect_right(cuts, a) : bisect_left(cuts, b)], b]
@@ -161,8 +162,14 @@ def quote_units(text: str, spans: Sequence[Span], most: int) -> list[tuple[int,
             elif piece:
                 pieces.append(piece)
         for piece in pieces:
-            around = [q for q in quotes[: bisect_right(begins, piece[0])] if q[1] >= piece[1]]
-            quote = max(around, key=lambda q: (q[1] - q[0], -q[0]), default=None)
+            while met < len(quotes) and quotes[met][0] <= piece[0]:
+                while around and around[-1][1] <= quotes[met][0]:
+                    around.pop()
+                around.append(quotes[met])
+                met += 1
+            while around and around[-1][1] <= piece[0]:
+                around.pop()
+            quote = next((q for q in around if q[1] >= piece[1]), None)  # quotes nest, so the first is the longest
             if units and quote is not None and units[-1][2] == quote:
                 units[-1][1] = piece[1]
             else:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions.predicates import filename_like, lines, short_structural, split_series, structural_title, title_only
 from vellum.functions.text import spaced, title_from_text
-from vellum.operators.running import running
+from vellum.operators.running import numbered, running
+from vellum.session import written
 
 #: A following chapter that takes a bare title in has at least this text.
 LEAST_TEXT = 400
@@ -53,42 +54,51 @@ def merged_continuations(chapters: DataFrame, keys: list[str], order: str, start
 def merged_title_pages(chapters: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A chapter that is its title alone, joined with the next one that has the text; a joined pair takes no third.
 
-    Whether a chapter wants to join looks at itself and the next; in a run of those that want to, every other one does."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    nxt = {c: F.lead(c).over(w) for c in ("title", "text", "href", "source", "headings")}
-    x = chapters.withColumns({f"n_{k}": v for k, v in nxt.items()})
-    first = F.coalesce(F.get(lines("n_text"), 0), F.lit(""))
-    inferred = title_from_text(F.coalesce("n_text", F.lit("")))
-    wants = (
-        title_only("title", "text") & (F.char_length("n_text") >= LEAST_TEXT) & (inferred != "") & (spaced("n_title") == spaced(inferred))
-        & (first != "") & (spaced("title") != spaced(first)) & ~short_structural(first)
+    Whether a chapter wants to join looks at itself and the next; in a run of those that want to, every other one does. All of this is
+    decided on titles, sizes and first lines; of the texts only those that join are brought together."""
+    first = F.coalesce(F.get(lines("text"), 0), F.lit(""))
+    narrow = numbered(
+        chapters.select(
+            *keys, order, spaced("title").alias("_title"), F.coalesce(title_only("title", "text"), F.lit(False)).alias("_bare"), spaced(first).alias("_first"),
+            ((F.char_length("text") >= LEAST_TEXT) & (spaced(title_from_text(F.coalesce("text", F.lit("")))) == spaced("title")) & (spaced("title") != "") & (first != "") & ~short_structural(first)).alias("_full"),
+        ), keys, [order],
     )
-    x = x.withColumn("_w", F.coalesce(wants, F.lit(False)))
-    x = x.withColumn("_run", F.sum(F.when(F.col("_w"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("_run", F.coalesce("_run", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
-    x = x.withColumn("_joins", F.col("_w") & (place % 2 == 1))
-    x = x.withColumn("_taken", F.coalesce(F.lag("_joins").over(w), F.lit(False)))
-    title, body_first = spaced("title"), first
-    joined = F.when(spaced(body_first) == title, F.col("n_text")).otherwise(F.concat(title, F.lit("\n\n"), F.col("n_text")))
-    out = x.where(~F.col("_taken"))
-    pick = lambda a, b: F.when(F.col("_joins"), b).otherwise(a)
+    nxt = narrow.select(*keys, (F.col("_n") - 1).alias("_n"), F.col(order).alias("_next"), F.col("_first").alias("_next_first"), F.col("_full").alias("_next_full"))
+    wants = F.coalesce(F.col("_bare") & F.col("_next_full") & (F.col("_title") != F.col("_next_first")), F.lit(False))
+    wanting = narrow.join(nxt, [*keys, "_n"], "left").select(*keys, order, "_n", "_next", "_title", "_next_first", wants.alias("_w"))
+    runs = running(wanting, keys, [order], {"_run": F.when(F.col("_w"), 0).otherwise(1)})
+    heads = runs.groupBy(*keys, "_run").agg(F.min("_n").alias("_head"))
+    placed = runs.join(heads, [*keys, "_run"]).withColumn("_joins", F.col("_w") & ((F.col("_n") - F.col("_head")) % 2 == 0))
+    joins = written(placed.where("_joins").select(*keys, order, "_next", (F.col("_title") == F.col("_next_first")).alias("_same")), "joins")
+    left = joins.select(*keys, F.col(order)).unionByName(joins.select(*keys, F.col("_next").alias(order)))
     none = F.array().cast("array<string>")
+    columns = ("title", "href", "source", "text", "headings")
+    alone = chapters.join(left, [*keys, order], "left_anti").select(*keys, order, *columns)
+    text = F.when(F.col("_same"), F.col("n_text")).otherwise(F.concat(spaced("title"), F.lit("\n\n"), F.col("n_text")))
     both = F.array_distinct(F.concat(F.array("title"), F.coalesce("headings", none), F.coalesce("n_headings", none)))
-    return out.select(
-        *keys, order, "title", pick(F.col("href"), F.col("n_href")).alias("href"), pick(F.col("source"), F.col("n_source")).alias("source"),
-        pick(F.col("text"), joined).alias("text"), pick(F.col("headings"), both).alias("headings"),
-    )
+    body = chapters.select(*keys, F.col(order).alias("_next"), F.col("href").alias("n_href"), F.col("source").alias("n_source"), F.col("text").alias("n_text"), F.col("headings").alias("n_headings"))
+    head = chapters.select(*keys, order, "title", "headings").join(joins, [*keys, order])
+    pairs = head.join(body, [*keys, "_next"]).select(*keys, order, "title", F.col("n_href").alias("href"), F.col("n_source").alias("source"), text.alias("text"), both.alias("headings"))
+    return alone.unionByName(pairs)
 
 
 def series_groups(spine: DataFrame, keys: list[str], order: str = "spine_pos") -> DataFrame:
     """Islands of consecutive files that are parts of one series, when the contents name one of them only."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    x = spine.withColumn("_s", split_series("href"))
-    x = x.withColumn("_new", F.when(F.col("_s").isNotNull() & F.col("_s").eqNullSafe(F.lag("_s").over(w)), 0).otherwise(1))
-    x = x.withColumn("series_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    named = F.sum(F.coalesce(F.col("in_toc").cast("int"), F.lit(0))).over(Window.partitionBy(*keys, "series_id"))
-    return x.withColumn("merges", F.col("_s").isNotNull() & (named == 1)).drop("_s", "_new")
+    x = numbered(spine.select(*keys, order, split_series("href").alias("_s"), F.coalesce(F.col("in_toc").cast("int"), F.lit(0)).alias("_named")), keys, [order])
+    earlier = x.select(*keys, (F.col("_n") + 1).alias("_n"), F.col("_s").alias("_before"))
+    x = x.join(earlier, [*keys, "_n"], "left").withColumn("_new", F.when(F.col("_s").isNotNull() & F.col("_s").eqNullSafe(F.col("_before")), 0).otherwise(1))
+    x = running(x.drop("_before"), keys, [order], {"_b": F.col("_new")}).withColumn("series_id", F.col("_b") + F.col("_new"))
+    named = x.groupBy(*keys, "series_id").agg(F.sum("_named").alias("_sum"))
+    groups = x.join(named, [*keys, "series_id"]).select(*keys, order, "series_id", (F.col("_s").isNotNull() & (F.col("_sum") == 1)).alias("merges"))
+    return spine.join(groups, [*keys, order])
+
+
+def merged_series(chapters: DataFrame, groups: DataFrame, keys: list[str], order: str = "spine_pos") -> DataFrame:
+    """Chapters with the texts of their whole series: those of ``groups`` (keys, order, series_id, merges, text) that merge are one chapter at its first file."""
+    parts = groups.where("merges").groupBy(*keys, "series_id").agg(F.min(order).alias(order), ordered_text("text", [order]).alias("_text"))
+    firsts = groups.where("merges").select(*keys, "series_id", order).join(parts.select(*keys, "series_id", F.col(order).alias("_at")), [*keys, "series_id"])
+    out = chapters.join(firsts, [*keys, order], "left").join(parts.select(*keys, "series_id", "_text"), [*keys, "series_id"], "left")
+    return out.withColumns({"text": F.coalesce("_text", "text"), order: F.coalesce("_at", order)}).drop("_text", "_at", "series_id")
 
 
 def chosen_by_coverage(toc_chapters: DataFrame, spine_chapters: DataFrame, keys: list[str], least: float = 0.9) -> DataFrame:
@@ -105,13 +115,14 @@ def with_followers(chapters: DataFrame, spine: DataFrame, keys: list[str]) -> Da
     """Chapters with the spine items after them up to the next boundary, as long as each only goes on.
 
     ``spine`` has spine_pos, boundary (a chapter or start begins there), goes_on and text. The range join is a running group id over the spine."""
-    w = Window.partitionBy(*keys).orderBy("spine_pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = spine.withColumn("_g", F.sum(F.col("boundary").cast("int")).over(w))
-    g = Window.partitionBy(*keys, "_g").orderBy("spine_pos").rowsBetween(Window.unboundedPreceding, 0)
-    stop = F.max(F.when(~F.col("boundary") & ~F.coalesce("goes_on", F.lit(False)), 1).otherwise(0)).over(g)
-    own = x.withColumn("_stop", stop).where((F.col("_stop") == 0) & (F.col("_g") > 0))
-    heads = own.groupBy(*keys, "_g").agg(F.min("spine_pos").alias("spine_pos"), ordered_text("text", ["spine_pos"]).alias("_text"), F.count("*").alias("items"))
-    out = chapters.join(heads.drop("_g"), [*keys, "spine_pos"], "left")
+    stop = ~F.col("boundary") & ~F.coalesce("goes_on", F.lit(False))
+    marks = spine.select(*keys, "spine_pos", F.col("boundary").cast("int").alias("_b"), stop.cast("int").alias("_stop"))
+    before = running(marks, keys, ["spine_pos"], {"_g0": F.col("_b"), "_s0": F.col("_stop")})
+    x = before.select(*keys, "spine_pos", (F.col("_g0") + F.col("_b")).alias("_g"), (F.col("_s0") + F.col("_stop")).alias("_s")).where("_g > 0")
+    starts = x.groupBy(*keys, "_g").agg(F.min("spine_pos").alias("_at"), F.min("_s").alias("_least"))
+    own = x.join(starts, [*keys, "_g"]).where("_s = _least").select(*keys, "spine_pos", "_at")
+    heads = spine.select(*keys, "spine_pos", "text").join(own, [*keys, "spine_pos"]).groupBy(*keys, "_at").agg(ordered_text("text", ["spine_pos"]).alias("_text"), F.count("*").alias("items"))
+    out = chapters.join(heads.withColumnRenamed("_at", "spine_pos"), [*keys, "spine_pos"], "left")
     return out.withColumn("text", F.coalesce("_text", "text")).withColumn("items", F.coalesce("items", F.lit(1))).drop("_text")
 
 
@@ -121,12 +132,9 @@ def chapter_title(*candidates: Column, href: Column, number: Column) -> Column:
     return F.coalesce(*usable, F.concat(F.lit("Chapter "), number.cast("string")))
 
 
-def reindexed(chapters: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> DataFrame:
-    """Chapters numbered from 1 in order. Where ``order`` is unique within a key, only it is sorted, not the texts."""
-    number = (F.col("_before") + 1).cast("int")
-    if not unique:
-        return running(chapters, keys, order, {"_before": F.lit(1)}).withColumn("chapter_index", number).drop("_before")
-    numbers = running(chapters.select(*keys, *order), keys, order, {"_before": F.lit(1)}).select(*keys, *order, number.alias("_number"))
+def reindexed(chapters: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Chapters numbered from 1 in order, which names a chapter; only keys and order are sorted, not the texts."""
+    numbers = numbered(chapters.select(*keys, *order), keys, order, "_number").withColumn("_number", F.col("_number").cast("int"))
     return chapters.join(numbers, [*keys, *order]).withColumn("chapter_index", F.col("_number")).drop("_number")
 
 
@@ -142,9 +150,14 @@ def with_restored(chapters: DataFrame, restored: DataFrame, keys: list[str]) ->
 
 
 def unique_slugs(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
-    """Slugs made different: from the second of a kind on with its number."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(slug, F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), F.col("_n").cast("string")))).drop("_n")
+    """Slugs made different: from the second of a kind on with its number; where that is a slug already, after two hyphens, which no slug has.
+
+    ``order`` names a row. Slugs are numbered over range-partitioned shares, since all titles that leave no letter share one."""
+    n = numbered(df.select(slug, *order), [slug], order).where("_n > 1")
+    made = n.select(F.col(slug).alias("_s"), *order, F.concat(slug, F.lit("-"), F.col("_n").cast("string")).alias("_made"), F.concat(slug, F.lit("--"), F.col("_n").cast("string")).alias("_else"))
+    taken = df.select(F.col(slug).alias("_made")).distinct().withColumn("_taken", F.lit(True))
+    named = made.join(taken, "_made", "left").select(F.col("_s").alias(slug), *order, F.when(F.col("_taken"), F.col("_else")).otherwise(F.col("_made")).alias("_new"))
+    return df.join(named, [slug, *order], "left").withColumn(slug, F.coalesce("_new", slug)).drop("_new")
 
 
 def cover_choice(images: DataFrame, keys: list[str]) -> DataFrame:

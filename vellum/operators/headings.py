@@ -10,9 +10,14 @@ from vellum.functions.text import fold_quotes, spaced, strip
 WORD = r"[\p{L}\p{Nl}\p{No}](?:[\p{L}\p{Nl}\p{No}'’\-]|\u0300-\u036f)*"
 
 
+def casefolded(c: Column) -> Column:
+    """Without case as full case folding has it: capitals first, so that ß and ligatures become their letters."""
+    return F.translate(F.lower(F.upper(c)), "ς", "σ")
+
+
 def heading_key(c: Column, fold: bool = True) -> Column:
     """A heading for comparison: blanks collapsed, without case, quotes folded."""
-    return F.lower(spaced(fold_quotes(c) if fold else c))
+    return casefolded(spaced(fold_quotes(c) if fold else c))
 
 
 def distinct_headings(headings: Column, fold: bool = True) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.functions.fields import voice_value
 from vellum.functions.text import href_file, re
-from vellum.operators.running import running
+from vellum.operators.running import islands, running
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -24,14 +24,16 @@ def non_empty(c: str) -> Column:
     return F.when(F.size(c) > 0, F.col(c))
 
 
-def with_raw_headings(clean: DataFrame, raw: DataFrame) -> DataFrame:
-    """Clean chapters with headings: their own, else those of their source chapter, else of the raw chapter of the same file."""
+def with_raw_headings(clean: DataFrame, raw: DataFrame, order: Column | None = None) -> DataFrame:
+    """Clean chapters with headings: their own, else those of their source chapter, else of the raw chapter of the same file.
+
+    Of several raw chapters of one place or file the first in ``order`` (their row numbers where the table has them) counts."""
     name = lambda c: re(c, "^.*/", "")
-    own = raw.select("book_id", "chapter_index", "source", "headings", "heading_categories")
-    by_index = first_value(own, ["book_id", "chapter_index"], "source", ["headings", "heading_categories"]).select(
+    own = raw.select("book_id", "chapter_index", "source", "headings", "heading_categories", (F.struct("chapter_index", "source") if order is None else order).alias("_o"))
+    by_index = first_value(own, ["book_id", "chapter_index"], "_o", ["headings", "heading_categories"]).select(
         "book_id", F.col("chapter_index").alias("source_index"), F.col("headings").alias("h1"), F.col("heading_categories").alias("c1")
     )
-    by_name = first_value(own.withColumn("file", name("source")).where("file <> ''"), ["book_id", "file"], "chapter_index", ["headings", "heading_categories"]).select(
+    by_name = first_value(own.withColumn("file", name("source")).where("file <> ''"), ["book_id", "file"], "_o", ["headings", "heading_categories"]).select(
         "book_id", "file", F.col("headings").alias("h2"), F.col("heading_categories").alias("c2")
     )
     joined = clean.withColumn("file", name("path")).join(by_index, ["book_id", "source_index"], "left").join(by_name, ["book_id", "file"], "left")
@@ -75,10 +77,11 @@ def title_overrides(toc: DataFrame, links: DataFrame, pages: DataFrame, least_li
     usable = ~filename_like("title", "href") & ~non_content("title")
     own = F.when(F.coalesce(usable, F.lit(False)), F.col("title")).otherwise(F.coalesce("label", "title"))
     titled = named.select("book_id", "spine_pos", "href", own.alias("title"), (F.col("text_chars") > 0).alias("full"))
-    w = Window.partitionBy("book_id").orderBy("spine_pos")
-    group = titled.withColumn("_g", F.coalesce(F.sum(F.col("full").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inherited = F.last(F.when(~F.col("full"), F.col("title")), ignorenulls=True).over(Window.partitionBy("book_id", "_g").orderBy("spine_pos").rowsBetween(Window.unboundedPreceding, -1))
-    return group.select("book_id", "spine_pos", "href", F.when(F.col("full"), F.coalesce("title", inherited)).otherwise(F.col("title")).alias("title")).where("title IS NOT NULL")
+    # a page with text and the empty pages before it are one group
+    group = running(titled, ["book_id"], ["spine_pos"], {"_g": F.col("full").cast("int")})
+    passed_on = first_value(group.where("NOT full AND title IS NOT NULL").select("book_id", "_g", "spine_pos", F.col("title").alias("_t")), ["book_id", "_g"], "spine_pos", ["_t"], last=True)
+    out = group.join(passed_on, ["book_id", "_g"], "left")
+    return out.select("book_id", "spine_pos", "href", F.when(F.col("full"), F.coalesce("title", "_t")).otherwise(F.col("title")).alias("title")).where("title IS NOT NULL")
 
 
 def note_index(pages: DataFrame) -> DataFrame:
@@ -104,15 +107,13 @@ def stored_overrides(voice_map: Column, default: Column) -> Column:
 def report_match(entries: DataFrame, report: DataFrame) -> DataFrame:
     """Each entry's row in its book's report: the first whose path ends with the entry's, or is of the same file, or of the same title.
 
-    Three equi-joins on the book and one key each, and the least place of them, in place of a join on a disjunction."""
+    A path that ends with another has the same file name, so two keys cover all three. The report is reduced to its first row of each
+    file and of each title before it is joined, so that a common title is one row."""
     name = lambda c: re(c, "^.*/", "")
-    r = report.select("book_id", F.col("pos").alias("r_pos"), F.col("path").alias("r_path"), F.col("title").alias("r_title"), name("path").alias("r_file"))
-    e = entries.withColumn("_file", name("path"))
-    # a path that ends with another has the same file name, so the file covers both
-    by_file = e.join(r, (e.book_id == r.book_id) & (e["_file"] == r.r_file) & (e["_file"] != "")).select(e.book_id, e.entry_id, "r_pos")
-    by_title = e.join(r, (e.book_id == r.book_id) & (e.title == r.r_title) & (e.title != "")).select(e.book_id, e.entry_id, "r_pos")
-    least = by_file.unionByName(by_title).groupBy("book_id", "entry_id").agg(F.min("r_pos").alias("report_pos"))
-    return entries.join(least, ["book_id", "entry_id"], "left")
+    first = lambda key, to, at: report.select("book_id", key.alias(to), "pos").where(F.col(to) != "").groupBy("book_id", to).agg(F.min("pos").alias(at))
+    found = entries.withColumn("_file", name("path"))
+    found = found.join(first(name("path"), "_file", "_p1"), ["book_id", "_file"], "left").withColumn("_title", F.col("title")).join(first(F.col("title"), "_title", "_p2"), ["book_id", "_title"], "left")
+    return found.select(*(entries.columns), F.least("_p1", "_p2").alias("report_pos"))
 
 
 def found_chapter(chapters: DataFrame, index: int, title: str) -> DataFrame:
@@ -130,20 +131,23 @@ def breaks_by_position(chunks: DataFrame, texts: DataFrame, keys: list[str], mar
 
 
 def enclosing(spans: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:
-    """For each span the longest quote around it, by positions within the same text; null where there is none."""
-    s = spans.select(*keys, F.col("start").alias("s0"), F.col("end").alias("s1")).distinct()
-    q = quotes.select(*keys, F.struct(F.col("start").alias("start"), F.col("end").alias("end")).alias("quote"))
-    inside = s.join(q, keys).where((F.col("quote.start") <= F.col("s0")) & (F.col("s1") <= F.col("quote.end")))
-    best = inside.groupBy(*keys, "s0", "s1").agg(F.max_by("quote", F.struct(F.col("quote.end") - F.col("quote.start"), -F.col("quote.start"))).alias("quote"))
-    return spans.join(best.withColumnsRenamed({"s0": "start", "s1": "end"}), [*keys, "start", "end"], "left")
+    """For each span the longest quote around it, by positions within the same text; null where there is none.
+
+    Quotes nest, as matched marks do: the longest around a span is the outermost, and outermost ones stand one after the other. So one
+    sweep over the starts of a text finds for each span the last outermost quote that began before it."""
+    by_start = Window.partitionBy(*keys).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    outer = quotes.select(*keys, "start", "end").distinct().withColumn("_to", F.max("end").over(by_start)).where("_to IS NULL OR end > _to")
+    events = outer.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_k"), F.struct("start", "end").alias("_q"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    own = spans.select(*keys, F.col("start").alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast(events.schema["_q"].dataType).alias("_q"), F.col("start").cast("long"), F.col("end").cast("long")).distinct()
+    sweep = Window.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.unionByName(own).withColumn("quote", F.last("_q", ignorenulls=True).over(sweep)).where("_k = 1")
+    found = swept.select(*keys, "start", "end", F.when(F.col("quote.end") >= F.col("end"), F.col("quote")).alias("quote"))
+    return spans.join(found, [*keys, "start", "end"], "left")
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """The union of intervals: empty ones dropped, touching and overlapping ones joined."""
-    reached = running(df.where(F.col(end) > F.col(start)), keys, [start, end], maxima={"_reached": F.col(end)})
-    opened = reached.withColumn("_new", F.coalesce((F.col(start) > F.col("_reached")).cast("int"), F.lit(1)))
-    islands = running(opened, keys, [start, end], {"_before": F.col("_new")}).withColumn("_island", F.col("_before") + F.col("_new"))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    return islands(df.where(F.col(end) > F.col(start)), keys, start, end)
 
 
 def highlighted(text: Column, ranges: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RATE = (0.95, 1.05)
 DELTA = (-5000.0, 5000.0)
@@ -32,32 +32,33 @@ def series(values: Column) -> Column:
     return F.when(F.size(v) > 0, F.struct(*fields))
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float] = QUANTILES, widths: tuple[float, ...] = (10.0, 0.01)) -> DataFrame:
+def exact_percentile(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float] = QUANTILES, width: float = 0.01) -> DataFrame:
     """The same statistics for groups of any size: (keys, n, min, p10 to p90, max, mean), unrounded.
 
-    Ranks are found by counts over a grid of values, then within the few cells they fall in over a finer grid, and last
-    among the distinct values of those finest cells. Every step is a sum with partial aggregation; windows run over
-    the cells of a group, whose number the bounds of the values and the widths limit, never over its rows."""
-    from pyspark.sql import Window
-
+    Values are counted by the cells of a grid, with partial sums; ranks are found by a window over the cells of a group, whose number
+    the bounds of the values and the width limit, never over its rows. Only the few cells that a rank falls in and that hold different values
+    are looked at again."""
     if not keys:
-        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, widths).drop("_all")
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sums = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), (F.sum("_v") / F.count("*")).alias("mean"))
-    ranks = F.array(*(F.struct(F.lit(k).alias("q"), F.floor((F.col("n") - 1) * F.lit(q)).alias("rank")) for k, q in quantiles.items()))
-    targets = sums.select(*keys, F.explode(ranks).alias("_q")).select(*keys, "_q.q", "_q.rank")
-    on = list(keys)
-    for level, width in enumerate((*widths, None)):
-        cell = f"_c{level}"
-        x = x.withColumn(cell, F.floor(F.col("_v") / width) if width else F.col("_v"))
-        within = x.join(targets.select(*on).distinct(), on, "left_semi") if level else x
-        counts = within.groupBy(*on, cell).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy(*on).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
-        hit = targets.join(counts.withColumn("_upto", upto), on).where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-        on.append(cell)
-        targets = hit.select(*on, "q", (F.col("rank") - (F.col("_upto") - F.col("_n"))).alias("rank"))
-    picked = targets.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == k, F.col(on[-1]))).alias(k) for k in quantiles))
-    return sums.join(picked, keys)
+        return exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, quantiles, width).drop("_all")
+    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_c", F.floor(F.col("_v") / width))
+    cells = x.groupBy(*keys, "_c").agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_v").alias("_s"))
+    group = Window.partitionBy(*keys).orderBy("_c")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = cells.withColumns({
+        "_upto": F.sum("_n").over(group.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(whole), "min": F.min("_low").over(whole),
+        "max": F.max("_high").over(whole), "mean": F.sum("_s").over(whole) / F.sum("_n").over(whole),
+    })
+    ranks = F.array(*(F.struct(F.lit(k).alias("q"), (F.floor((F.col("n") - 1) * F.lit(q)) - (F.col("_upto") - F.col("_n"))).alias("rank")) for k, q in quantiles.items()))
+    hits = placed.select("*", F.explode(F.filter(ranks, lambda r: (r["rank"] >= 0) & (r["rank"] < F.col("_n")))).alias("_q"))
+    mixed = hits.where("_low < _high").select(*keys, "_c", F.col("_q.q").alias("q"), F.col("_q.rank").alias("rank"))
+    counts = x.join(mixed.select(*keys, "_c").distinct(), [*keys, "_c"], "left_semi").groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*keys, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = mixed.join(counts.withColumn("_to", upto), [*keys, "_c"]).where((F.col("rank") < F.col("_to")) & (F.col("rank") >= F.col("_to") - F.col("_m"))).select(*keys, "q", "_v")
+    even = hits.select(*keys, F.col("_q.q").alias("q"), F.when(F.col("_low") == F.col("_high"), F.col("_low")).alias("_v"), "n", "min", "max", "mean")
+    both = even.unionByName(found, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(
+        *(F.max(c).alias(c) for c in ("n", "min", "max", "mean")), *(F.max(F.when(F.col("q") == k, F.col("_v"))).alias(k) for k in quantiles)
+    )
 
 
 def as_series(prefix: str) -> Column:
@@ -67,10 +68,15 @@ def as_series(prefix: str) -> Column:
     return F.when(c("n").isNotNull(), F.struct(c("n"), F.round(c("min"), 3).alias("min"), *at, F.round(c("max"), 3).alias("max"), F.round(c("mean"), 3).alias("mean")))
 
 
+def tells_of_pad(trigger: str) -> Column:
+    """Whether an entry tells of the pad: the trigger, preloaded, at about normal speed, within bounds."""
+    return (F.col("trigger_kind") == trigger) & F.col("preloaded") & F.col("playback_rate").between(*RATE) & F.col("delta_ms").between(*DELTA)
+
+
 def boundary_filter(log: DataFrame, trigger: str = "gapless") -> DataFrame:
-    """The entries that tell of the pad: the trigger, preloaded, at about normal speed, within bounds; latency null when out of bounds."""
+    """The entries that tell of the pad; latency null when out of bounds."""
     latency = F.when(F.col("output_latency_ms").between(*LATENCY), F.col("output_latency_ms"))
-    kept = log.where((F.col("trigger_kind") == trigger) & F.col("preloaded") & F.col("playback_rate").between(*RATE) & F.col("delta_ms").between(*DELTA))
+    kept = log.where(tells_of_pad(trigger))
     return kept.withColumns({"output_latency_ms": latency, "corrected_ms": F.col("delta_ms") + latency})
 
 
@@ -82,9 +88,11 @@ def boundary_report(log: DataFrame, keys: list[str] | None = None, least: int =
     own = keys or ["_all"]
     log = log if keys else log.withColumn("_all", F.lit(0))
     kept = boundary_filter(log, trigger)
-    total = log.groupBy(*own).agg(F.count("*").alias("samples_total"))
-    sums = kept.groupBy(*own).agg(F.count("*").alias("filtered"), F.count("corrected_ms").alias("corrected"), F.sort_array(F.collect_set("pad_ms")).alias("pads"))
-    out = total.join(sums, own, "left")
+    tells = tells_of_pad(trigger)
+    late = tells & F.col("output_latency_ms").between(*LATENCY)
+    out = log.groupBy(*own).agg(
+        F.count("*").alias("samples_total"), F.count_if(tells).alias("filtered"), F.count_if(late).alias("corrected"), F.sort_array(F.collect_set(F.when(tells, F.col("pad_ms")))).alias("pads")
+    )
     # the three series are one long table, so that the grid is walked once
     long = kept.select(*own, F.explode(F.create_map(*(x for k, v in SERIES.items() for x in (F.lit(k), F.col(v))))).alias("_series", "_value"))
     stats = exact_percentile(long, [*own, "_series"], "_value")

@@ -356,7 +356,7 @@ def toc_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sanitize_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = cleaning.Rules(cutoffs=list(CUT), removals=list(REMOVE))
-    return cleaning.report(written(cleaning.cleaned_chapters(pipeline.latest_delivery(raw(spark, sf_dir)), table(spark, sf_dir, "books"), rules), "cleaned"))
+    return cleaning.report(cleaning.cleaned_chapters(pipeline.latest_delivery(raw(spark, sf_dir)), table(spark, sf_dir, "books"), rules))
 
 
 @query()

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.operators import chapters, cleaning, lookups, manifest, timeline
+from vellum.operators import chapters, cleaning, manifest, timeline
 from vellum.session import written
 
 
 def latest_delivery(raw: DataFrame) -> DataFrame:
     """One row a chapter: the delivery created last, of equals the greatest row id."""
-    return lookups.first_by(raw, ["book_id", "chapter_index"], [F.col("created_unix").desc_nulls_last(), F.col("row_id").desc()])
+    last = F.max_by("row_id", F.struct(F.col("created_unix").isNotNull(), "created_unix", "row_id"))
+    return raw.join(raw.groupBy("book_id", "chapter_index").agg(last.alias("row_id")).select("row_id"), "row_id", "left_semi")
 
 
 def sanitized(raw: DataFrame, books: DataFrame, rules: cleaning.Rules | None = None) -> DataFrame:
     """Clean chapters numbered anew, with the raw chapter each comes from."""
     # written once: its order and its texts are read apart
     cleaned = written(cleaning.cleaned_chapters(latest_delivery(raw), books, rules).where("NOT dropped AND text IS NOT NULL AND trim(text) <> ''"), "clean")
-    return chapters.reindexed(cleaned.withColumnRenamed("chapter_index", "source_index"), ["book_id"], ["source_index", "row_id"], unique=True)
+    return chapters.reindexed(cleaned.withColumnRenamed("chapter_index", "source_index"), ["book_id"], ["source_index", "row_id"])
 
 
 def chunk_table(clean: DataFrame, most: int = manifest.MOST, least: int = manifest.LEAST) -> DataFrame:

@@ -32,12 +32,15 @@ def local_session(cores: str = "8", app: str = "vellum", shuffle: int = 8) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a temporary folder made and set.
+    Only on a single machine may the setting be absent: a temporary folder is then made and set. On a cluster that is an error, since
+    no folder of one machine would do.
     """
     for conf in (spark.sparkContext.getConf(), spark.conf):
         found = conf.get("spark.checkpoint.dir", None)
         if found:
             return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="vellum-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
