@@ -229,12 +229,12 @@ def test_spellings_are_of_whole_words(spark):
     assert {("clémence", "Clémence"), ("wouldn’t", "wouldn’t"), ("tombée", "tombée"), ("été", "Été")} <= set(got) and "tre" not in dict(got)
 
 
-def test_whole_word_spelling_agrees_with_the_kernel(spark, small):
+def test_dominant_spelling_agrees_with_the_kernel(spark, small):
     texts: dict = {}
     for r in spark.read.parquet(f"{small}/chapters_raw.parquet").where("text IS NOT NULL").orderBy("row_id").collect():
         texts.setdefault(r.book_id, []).append(r.text)
     expected = [(b, k, w) for b, t in texts.items() for k, w in caps.case_map("", t).items()]
-    got = rows(catalogue.QUERIES["whole_word_spelling"](spark, small), "book_id", "key", "spelling")
+    got = rows(catalogue.QUERIES["dominant_spelling"](spark, small), "book_id", "key", "spelling")
     assert got == sorted(expected, key=repr)
 
 

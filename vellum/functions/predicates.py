@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from vellum.functions.text import BLANK, C, col, compact, re, spaced, strip
+from vellum.functions.text import BLANK, C, col, compact, re, rstrip, spaced, strip
 from vellum.kernels.chars import JAVA_CHINESE, JAVA_HAN, SB
 
 #: Java flags under which a pattern reads as its authors meant it: case, lines ended by LF alone, Unicode classes.
@@ -142,12 +142,17 @@ def span_content(c: C) -> Column:
     return col(c).rlike(rf"[{JAVA_CHINESE}\p{{Nd}}A-Za-z]")
 
 
+def _unclosed(c: C) -> Column:
+    """A text without blanks and closing quotes at its end."""
+    return re(rstrip(c), "[」』）】\\]〉》”’\"']+\\z", "")
+
+
 def ends_sentence(c: C) -> Column:
-    return re(c, "[」』）】\\]〉》”’\"']+$", "").rlike("[。！？?!…]$")
+    return _unclosed(c).rlike(r"[。！？?!…]\z")
 
 
 def ends_open(c: C) -> Column:
-    return re(c, "[」』）】\\]〉》”’\"']+$", "").rlike("[、，,;；:：—―─━…⋯]$")
+    return _unclosed(c).rlike(r"[、，,;；:：—―─━…⋯]\z")
 
 
 def same_paragraph(gap: C) -> Column:

@@ -126,7 +126,7 @@ def log_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def boundaries_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "boundary_log").where("captured_unix IS NOT NULL")
-    w = boundaries.by_window(log.where("trigger_kind = 'auto'").withColumn("trigger_kind", F.lit("gapless")))
+    w = boundaries.by_window(log, trigger="auto")
     return w.select("book_id", F.unix_timestamp(F.col("window.start")).alias("start_unix"), "n", "with_latency", F.round("mean_delta_ms", 6).alias("mean_delta_ms"), F.round("mean_corrected_ms", 6).alias("mean_corrected_ms"))
 
 
@@ -156,6 +156,15 @@ def sql_spaced(x: str) -> str:
     return sql_strip(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
 
 
+# The SQL spells out its own values.
+DROPPED = "目录 目錄 封面 封底 扉页 扉頁 版权 版權 版权信息 版權資訊 版權信息 版权页 版權頁 作者简介 作者簡介 广告 廣告 内容简介 內容簡介 出版信息 出版資訊".split()
+BARE = "'封面','封底','目录','目錄','版权','版權','版权页','版權頁','版权信息','版權資訊','版權信息','扉页','扉頁','contents','toc','cover','copyright'"
+NUM, UNIT, ROMAN = "0-9０-９一二三四五六七八九十百千〇零两兩", "章節节話话部卷巻回篇編编集幕讲講", "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"
+TERMS = (
+    "'prologue','epilogue','postscript','interlude','preface','afterword','introduction','序','序章','序言','序曲','自序','代序','前言','引言','引子','楔子','导言','導言','导读','導讀',"
+    "'尾声','尾聲','终章','終章','结语','結語','结束语','結束語','后记','後記','跋','番外','附录','附錄'"
+)
+
 LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY created_unix DESC NULLS LAST, row_id DESC) AS rn FROM chapters_raw) WHERE rn = 1)"
 
 
@@ -183,7 +192,7 @@ def _first_match_sql(c: str, patterns: tuple[str, ...]) -> str:
     return f"coalesce({hits}, '')"
 
 
-@query(f"SELECT row_id, {_first_match_sql('title', predicates.DROP_TITLES)} AS drop_reason FROM chapters_raw")
+@query(f"SELECT row_id, {_first_match_sql('title', tuple(f'^{t}$' for t in DROPPED))} AS drop_reason FROM chapters_raw")
 def drop_title_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).select("row_id", predicates.drop_reason("title").alias("drop_reason"))
 
@@ -231,7 +240,7 @@ def href_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT row_id, f.drop OR t = '' OR t IN (" + ", ".join(f"'{x}'" for x in predicates.NON_CONTENT) + ") AS non_content, regexp_matches(b, '^(第?[" + predicates.NUMERALS + "]+[" + predicates.UNITS + "]?|[" + predicates.NUMERALS + "]+[.)．、]?|[" + predicates.ROMAN + "]+[.)．、]?|[IVXLCDM]+[.)．、]?)$') AND length(t) BETWEEN 1 AND 40 AND length(b) <= 20 AS short_label "
+    "SELECT row_id, f.drop OR t = '' OR t IN (" + BARE + ") AS non_content, regexp_matches(b, '^(第?[" + NUM + "]+[" + UNIT + "]?|[" + NUM + "]+[.)．、]?|[" + ROMAN + "]+[.)．、]?|[IVXLCDM]+[.)．、]?)$') AND length(t) BETWEEN 1 AND 40 AND length(b) <= 20 AS short_label "
     f"FROM (SELECT row_id, lower({sql_spaced('coalesce(title, chr(32))')}) AS t, regexp_replace(coalesce(title, ''), '{WS}', '', 'g') AS b, {{'drop': false}} AS f FROM chapters_raw)"
 )
 def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +250,9 @@ def title_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOTS = "[.)．、]"
 STRUCTURAL_SQL = (
-    "regexp_matches(b, '^(第?[" + predicates.NUMERALS + "]+[" + predicates.UNITS + "]?|[" + predicates.NUMERALS + "]+" + DOTS + "?|[" + predicates.ROMAN + "]+" + DOTS + "?|[IVXLCDM]+" + DOTS + "?)$') AND length(t) BETWEEN 1 AND 40 AND length(b) <= 20 "
-    "OR lower(t) IN (" + ", ".join(f"'{x}'" for x in predicates.STRUCTURAL) + ") OR lower(b) IN (" + ", ".join(f"'{x}'" for x in predicates.STRUCTURAL) + ") "
-    "OR length(b) BETWEEN 1 AND 80 AND regexp_matches(b, '^(第?[" + predicates.NUMERALS + "]+[" + predicates.UNITS + "]|[" + predicates.NUMERALS + "]+([" + predicates.UNITS + "]|" + DOTS + ")|[" + predicates.ROMAN + "IVXLCDM]+([" + predicates.UNITS + "]|" + DOTS + "))')"
+    "regexp_matches(b, '^(第?[" + NUM + "]+[" + UNIT + "]?|[" + NUM + "]+" + DOTS + "?|[" + ROMAN + "]+" + DOTS + "?|[IVXLCDM]+" + DOTS + "?)$') AND length(t) BETWEEN 1 AND 40 AND length(b) <= 20 "
+    "OR lower(t) IN (" + TERMS + ") OR lower(b) IN (" + TERMS + ") "
+    "OR length(b) BETWEEN 1 AND 80 AND regexp_matches(b, '^(第?[" + NUM + "]+[" + UNIT + "]|[" + NUM + "]+([" + UNIT + "]|" + DOTS + ")|[" + ROMAN + "IVXLCDM]+([" + UNIT + "]|" + DOTS + "))')"
 )
 
 
@@ -273,19 +282,16 @@ def section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headings.section_marks(lines, ["row_id"])
 
 
+LOW, UP = "\\p{Ll}ªº\\x{2B0}-\\x{2B8}\\x{2C0}\\x{2C1}\\x{2E0}-\\x{2E4}\\x{2170}-\\x{217F}", "\\p{Lu}\\x{2160}-\\x{216F}"
+
+
 @query(
-    "WITH w AS (SELECT book_id, row_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) AS word FROM chapters_raw WHERE text IS NOT NULL), c AS (SELECT book_id, lower(word) AS key, word, count(*) AS uses FROM w WHERE regexp_matches(word, '[a-z]') GROUP BY ALL), "
-    "r AS (SELECT *, CASE WHEN regexp_matches(word, '^[A-Z].*[a-z]') THEN 3 WHEN NOT regexp_matches(word, '[A-Z]') THEN 2 ELSE 1 END AS rank FROM c) SELECT book_id, key, max(uses)::BIGINT AS uses, any_value(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY uses DESC, rank DESC) AS n FROM r) WHERE n = 1 GROUP BY book_id, key"
+    "WITH w AS (SELECT book_id, row_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT book_id, row_id, regexp_extract_all(text, '[\\p{L}\\p{Nl}\\p{No}](?:[\\p{L}\\p{Nl}\\p{No}''’\\-]|\\x{300}-\\x{36F})*') AS ws FROM chapters_raw WHERE text IS NOT NULL)), "
+    f"c AS (SELECT book_id, regexp_replace(lower(word), CASE WHEN regexp_matches(word, '\\p{{L}}Σ$') THEN 'σ$' ELSE '^$' END, 'ς') AS key, word, count(*) AS uses, min(row_id * 1000000000 + i) AS first FROM w WHERE regexp_matches(word, '[{LOW}]') GROUP BY ALL), r AS (SELECT *, CASE WHEN regexp_matches(word, '^[{UP}].*[{LOW}]') THEN 3 WHEN NOT regexp_matches(word, '[{UP}\\p{{Lt}}]') THEN 2 ELSE 1 END AS rank FROM c) "
+    "SELECT book_id, key, word AS spelling, uses::BIGINT AS uses, rank FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY uses DESC, rank DESC, first) AS n FROM r) WHERE n = 1"
 )
 def dominant_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("book_id", "row_id", "text"), "row_id")
-    words = texts.select("book_id", F.col("row_id"), F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z'-]*)"), F.lit(1))).alias("p", "word"))
-    return headings.dominant_spelling(words.withColumn("pos", F.col("row_id") * 1_000_000 + F.col("p")), ["book_id"]).select("book_id", "key", "uses", "rank")
-
-
-@query()
-def whole_word_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As dominant_spelling, whose SQL takes ASCII words only, with the words of every script that has small letters, and their spelling."""
+    """The leading spelling of every word of a book, with the words of every script that has small letters."""
     texts = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("book_id", "row_id", "text"), "row_id")
     return headings.dominant_spelling(headings.words(texts, ["book_id"], "text", "row_id"), ["book_id"])
 
@@ -314,18 +320,6 @@ def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.reindexed(pipeline.latest_delivery(raw(spark, sf_dir)), ["book_id"], ["chapter_index", "row_id"]).select("book_id", "row_id", "chapter_index")
 
 
-@query()
-def merged_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pipeline.latest_delivery(raw(spark, sf_dir)).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text", "source")})
-    return chapters.merged_continuations(x, ["book_id"], "chapter_index").select("book_id", "chapter_index", "title", F.char_length("text").alias("chars"), "parts")
-
-
-@query()
-def merged_title_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = pipeline.latest_delivery(raw(spark, sf_dir)).withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text", "source")})
-    return chapters.merged_title_pages(x, ["book_id"], "chapter_index").select("book_id", "chapter_index", "title", F.char_length("text").alias("chars"))
-
-
 @query(
     f"WITH s AS (SELECT book_id, sum(length(text)) AS n FROM {LATEST} GROUP BY book_id), t AS (SELECT c.book_id, sum(length(c.text)) AS n FROM {LATEST} c SEMI JOIN toc_entries e ON c.book_id = e.book_id AND c.href = e.href GROUP BY c.book_id) "
     "SELECT s.book_id, (s.n IS NULL OR s.n = 0 OR coalesce(t.n, 0)::DOUBLE / s.n >= 0.9::DOUBLE) AS by_toc FROM s LEFT JOIN t ON s.book_id = t.book_id"
@@ -344,12 +338,15 @@ def last_title_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT book_id, source AS file, max(chapter_index) AS spine_pos FROM chapters_raw WHERE source IS NOT NULL GROUP BY ALL), t AS (SELECT book_id, pos, row_id, regexp_replace(href, '#.*$', '') AS file FROM toc_entries WHERE href IS NOT NULL) "
-    "SELECT t.book_id, spine_pos, min(pos) AS pos FROM t JOIN s ON t.book_id = s.book_id AND t.file = s.file GROUP BY ALL"
+    "WITH s AS (SELECT book_id, source AS file, max(chapter_index) AS spine_pos FROM chapters_raw WHERE source IS NOT NULL GROUP BY ALL), d AS (SELECT book_id, 'c' || chapter_index AS file, max(chapter_index) AS spine_pos FROM chapters_raw WHERE source IS NOT NULL GROUP BY ALL), "
+    "t AS (SELECT book_id, pos, row_id, CASE WHEN row_id % 7 = 0 THEN 'c' || pos ELSE regexp_replace(href, '#.*$', '') END AS file FROM toc_entries WHERE href IS NOT NULL) "
+    "SELECT book_id, spine_pos, min(pos) AS pos FROM (SELECT t.book_id, t.pos, coalesce(s.spine_pos, d.spine_pos) AS spine_pos FROM t LEFT JOIN s ON t.book_id = s.book_id AND t.file = s.file LEFT JOIN d ON t.book_id = d.book_id AND t.file = d.file) WHERE spine_pos IS NOT NULL GROUP BY ALL"
 )
 def toc_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spine = raw(spark, sf_dir).where("source IS NOT NULL").select("book_id", F.col("chapter_index").alias("spine_pos"), F.col("source").alias("href"), F.lit(None).cast("string").alias("id"))
-    toc = table(spark, sf_dir, "toc_entries").where("href IS NOT NULL").select("book_id", "pos", "title", "href")
+    """Contents entries in the spine, by file or, where every seventh names an item instead, by its id."""
+    spine = raw(spark, sf_dir).where("source IS NOT NULL").select("book_id", F.col("chapter_index").alias("spine_pos"), F.col("source").alias("href"), F.concat(F.lit("c"), "chapter_index").alias("id"))
+    href = F.when(F.col("row_id") % 7 == 0, F.concat(F.lit("c"), "pos")).otherwise(F.col("href"))
+    toc = table(spark, sf_dir, "toc_entries").where("href IS NOT NULL").select("book_id", "pos", "title", href.alias("href"))
     return lookups.toc_spine(toc, spine).select("book_id", "spine_pos", "pos")
 
 
@@ -456,13 +453,6 @@ def auto_split_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.select("book_id", timeline.split_count(F.col("d"), HOURS).alias("parts"))
 
 
-@query()
-def split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = timeline.chapter_durations(segments(spark, sf_dir), ["book_id", "chapter_id"])
-    totals = per.groupBy("book_id").agg(F.sum("duration_ms").alias("d")).select("book_id", timeline.split_count(F.col("d"), HOURS).alias("parts"))
-    return timeline.split_plan(per.join(totals, "book_id"), ["book_id"], ["chapter_id"], "duration_ms", F.col("parts")).select("book_id", "chapter_id", "duration_ms", "part")
-
-
 @query(
     f"WITH c AS (SELECT book_id, chapter_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_id) AS n, greatest(d, 1) AS d FROM {CHAPTER_MS}), e AS (SELECT *, sum(d) OVER (PARTITION BY book_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS e FROM c) "
     "SELECT book_id, ';FFMETADATA1' || chr(10) || string_agg(chr(10) || '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || (e - d)::BIGINT || chr(10) || 'END=' || e::BIGINT || chr(10) || 'title=' || chapter_id || chr(10), '' ORDER BY n) AS metadata FROM e GROUP BY book_id"
@@ -487,12 +477,15 @@ def playback_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH s AS (SELECT s.*, t.prepared FROM {SEGMENTS} s JOIN tts_pipeline t ON s.row_id = t.row_id) SELECT row_id, CASE WHEN regexp_matches(regexp_replace(coalesce(prepared, ''), '[\\s\"“”「」]', '', 'g'), '^[…⋯]+$') THEN 'silence' WHEN duration_ms > 3600 THEN 'reuse' "
-    f"WHEN {sql_strip('coalesce(prepared, chr(32))')} = '' THEN 'empty' WHEN chunk_idx > 3 THEN 'no_voice' ELSE 'synth' END AS action FROM s"
+    f"WITH s AS (SELECT s.row_id, t.prepared, t.after_numbers, t.lang FROM {SEGMENTS} s JOIN tts_pipeline t ON s.row_id = t.row_id), v AS (SELECT DISTINCT lang FROM voices WHERE lang IS NOT NULL) SELECT row_id, CASE WHEN regexp_matches(regexp_replace(coalesce(prepared, ''), '[\\s\"“”「」]', '', 'g'), '^[…⋯]+$') THEN 'silence' WHEN after_numbers IS NULL THEN 'reuse' "
+    f"WHEN {sql_strip('coalesce(prepared, chr(32))')} = '' THEN 'empty' WHEN v.lang IS NULL THEN 'no_voice' ELSE 'synth' END AS action FROM s LEFT JOIN v ON s.lang = v.lang"
 )
 def next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir).join(table(spark, sf_dir, "tts_pipeline").select("row_id", F.col("prepared").alias("text")), "row_id")
-    s = s.withColumns({"has_wav": F.coalesce(F.col("duration_ms") > 3600, F.lit(False)), "has_voice": F.col("chunk_idx") <= 3, "pause_multiplier": F.lit(1)})
+    """What is next for each chunk: a voice is there where one speaks its language, and a recording where the figures were not read again."""
+    t = table(spark, sf_dir, "tts_pipeline").select("row_id", F.col("prepared").alias("text"), "after_numbers", "lang")
+    voices = table(spark, sf_dir, "voices").where("lang IS NOT NULL").select("lang").distinct().withColumn("has_voice", F.lit(True))
+    s = segments(spark, sf_dir).select("row_id").join(t, "row_id").join(voices, "lang", "left")
+    s = s.withColumns({"has_wav": F.col("after_numbers").isNull(), "has_voice": F.coalesce("has_voice", F.lit(False)), "pause_multiplier": F.lit(1)})
     return manifest.next_actions(s).select("row_id", "action")
 
 
@@ -515,7 +508,7 @@ def book_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "books").select("book_id", "created_unix", fields.year(F.array(F.coalesce("pub_year", F.lit("")))).alias("year"), F.coalesce(tags["artist"], F.lit("")).alias("artist"))
 
 
-LANG = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fields.LANGUAGES.items()) + " ELSE lower(x) END"
+LANG = "CASE WHEN lower(x) IN ('chinese', 'zh', 'mandarin') THEN 'zh' WHEN lower(x) IN ('japanese', 'ja') THEN 'ja' WHEN lower(x) IN ('english', 'en') THEN 'en' WHEN lower(x) IN ('korean', 'ko') THEN 'ko' WHEN lower(x) IN ('french', 'fr') THEN 'fr' WHEN lower(x) IN ('german', 'de') THEN 'de' WHEN lower(x) IN ('spanish', 'es') THEN 'es' ELSE lower(x) END"
 
 
 @query(f"SELECT row_id, {LANG} AS language, CASE WHEN g IN ('female', 'male') THEN g END AS gender FROM (SELECT row_id, nullif({sql_strip('lang')}, '') AS x, lower({sql_strip('gender')}) AS g FROM voices)")
@@ -524,15 +517,15 @@ def voice_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT lang, min(voice_name) AS v FROM voices WHERE lang IS NOT NULL GROUP BY lang), b AS (SELECT book_id, min(lang) AS lang FROM books GROUP BY book_id), o AS (SELECT chapter_id, book_id, min(row_id) AS r FROM chapter_inputs GROUP BY ALL) "
-    "SELECT o.book_id, o.chapter_id, coalesce(w.voice_name, d.v, '') AS voice FROM o LEFT JOIN voices w ON o.r = w.row_id LEFT JOIN b ON o.book_id = b.book_id LEFT JOIN d ON b.lang = d.lang"
+    "WITH d AS (SELECT lang, min(voice_name) AS v FROM voices WHERE lang IS NOT NULL GROUP BY lang), b AS (SELECT book_id, min(lang) AS lang FROM books GROUP BY book_id), o AS (SELECT chapter_id, book_id, max(lang) AS lang FROM chapter_inputs GROUP BY ALL) "
+    "SELECT o.book_id, o.chapter_id, coalesce(w.v, d.v, '') AS voice FROM o LEFT JOIN d w ON o.lang = w.lang LEFT JOIN b ON o.book_id = b.book_id LEFT JOIN d ON b.lang = d.lang"
 )
 def voice_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voices = table(spark, sf_dir, "voices")
-    rows = table(spark, sf_dir, "chapter_inputs").groupBy("book_id", "chapter_id").agg(F.min("row_id").alias("row_id"))
-    own = rows.join(voices.select("row_id", F.col("voice_name").alias("voice")), "row_id").select("book_id", "chapter_id", "voice")
-    by_lang = voices.where("lang IS NOT NULL").groupBy("lang").agg(F.min("voice_name").alias("default_voice"))
-    shelf = table(spark, sf_dir, "books").groupBy("book_id").agg(F.min("lang").alias("lang")).join(by_lang, "lang", "left")
+    """Each chapter's voice: one of its own language, else one of its book's."""
+    by_lang = table(spark, sf_dir, "voices").where("lang IS NOT NULL").groupBy("lang").agg(F.min("voice_name").alias("voice"))
+    rows = table(spark, sf_dir, "chapter_inputs").groupBy("book_id", "chapter_id").agg(F.max("lang").alias("lang"))
+    own = rows.join(by_lang, "lang").select("book_id", "chapter_id", "voice")
+    shelf = table(spark, sf_dir, "books").groupBy("book_id").agg(F.min("lang").alias("lang")).join(by_lang.withColumnRenamed("voice", "default_voice"), "lang", "left")
     return lookups.resolved_voice(rows, own, shelf.withColumn("manifest_voice", F.lit(None).cast("string"))).select("book_id", "chapter_id", "voice")
 
 
@@ -567,3 +560,6 @@ def speech_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain = audio.gain_db("s.active_db", "s.peak_db")
     kept = F.size(audio.trimmed(F.col("embedding"), F.lit(RATE)))
     return x.select("vec_id", F.round("s.active_db", 6).alias("active_db"), F.round("s.peak_db", 6).alias("peak_db"), F.round(gain, 6).alias("gain_db"), kept.alias("kept"))
+
+
+from vellum.plans import rows  # noqa: E402, F401  more queries, by the same decorator

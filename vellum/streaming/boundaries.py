@@ -26,10 +26,10 @@ def once_each(log: DataFrame, late: str = "7 days") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark([c for c in log.columns if c != "logged_unix"])
 
 
-def by_window(log: DataFrame, width: str = "1 hour") -> DataFrame:
+def by_window(log: DataFrame, width: str = "1 hour", trigger: str = "gapless") -> DataFrame:
     """Filtered boundaries by window and book: counts, mean delta and latency; partial sums, so a hot book is no hot task."""
     timed = log if "captured" in log.columns else log.withColumn("captured", F.timestamp_seconds("captured_unix"))
-    return boundary_filter(timed).groupBy(F.window("captured", width), "book_id").agg(
+    return boundary_filter(timed, trigger).groupBy(F.window("captured", width), "book_id").agg(
         F.count("*").alias("n"), F.count("output_latency_ms").alias("with_latency"), F.avg("delta_ms").alias("mean_delta_ms"), F.avg("corrected_ms").alias("mean_corrected_ms")
     )
 
