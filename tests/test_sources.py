@@ -135,3 +135,71 @@ def test_stream(spark, tmp_path):
 def test_remote(spark):
     df = spark.createDataFrame([("https://x.y/a.mp3",), ("/tmp/a.mp3",)], "src string")
     assert [r.cache_key[-4:] for r in readers.remote(df, "src").collect()] == [".mp3"]
+
+
+def book(path, pages, contents, css=""):
+    """An EPUB file of pages (name, body) with its contents (title, link)."""
+    names = [n for n, _ in pages]
+    items = "".join(f'<item id="i{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
+    opf = f'''<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title></metadata><manifest>{items}
+<item id="css" href="s.css" media-type="text/css"/><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine>{"".join(f'<itemref idref="i{i}"/>' for i in range(len(names)))}</spine></package>'''
+    nav = "".join(f'<li><a href="{h}">{t}</a></li>' for t, h in contents)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr("p.opf", opf)
+        z.writestr("s.css", css)
+        z.writestr("nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{nav}</ol></nav></body></html>')
+        for n, b in pages:
+            z.writestr(n, f'<?xml version="1.0" encoding="utf-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{n}</title></head><body>{b}</body></html>')
+
+
+def test_a_book_from_its_file_to_chapters(spark, tmp_path):
+    from vellum.plans import pipeline
+
+    long = "<p>" + "The lamp was lit again. " * 30 + "</p>"
+    book(
+        tmp_path / "a.epub",
+        [
+            ("one.xhtml", f'<h1>Dawn</h1><p>It began<a epub:type="noteref" href="back.xhtml#n1">1</a>.</p>{long}'),
+            ("one_b.xhtml", f"<p>It went&nbsp;on.</p>{long}"),
+            ("two_split_000.xhtml", f"<h1>Noon</h1>{long}"),
+            ("two_split_001.xhtml", f"<p class='chaphead'>第二节</p>{long}"),
+            ("back.xhtml", '<h2>Notes</h2><p id="n1">A note.</p><p>Other words.</p>'),
+        ],
+        [("Dawn", "one.xhtml"), ("Noon", "two_split_000.xhtml"), ("Notes", "back.xhtml")],
+        ".chaphead {font-weight: bold}",
+    )
+    book(
+        tmp_path / "b.epub",
+        [("cover.xhtml", "<p><img alt='Cover' src='x.png'/></p>"), ("c1.xhtml", f"<h1>第一章</h1>{long}"), ("c2.xhtml", f"<h1>第二章</h1>{long}"), ("c3.xhtml", f"<h1>第三章</h1>{long}")],
+        [("第一章", "c1.xhtml")],
+    )
+    got = {}
+    for r in pipeline.ingested(spark, str(tmp_path)).orderBy("book_id", "chapter_index").collect():
+        got.setdefault(r.book_id[-6:-5], []).append(r)
+    a = got["a"]
+    assert [(r.chapter_index, r.title, r.source) for r in a] == [(1, "Dawn", "one.xhtml"), (2, "Noon", "two_split_000.xhtml"), (3, "Notes", "back.xhtml")]
+    assert "It began." in a[0].text and "It went on." in a[0].text and a[0].headings == ["Dawn"] and a[0].heading_categories == {"Dawn": "title"}
+    assert "第二节" in a[1].text and a[1].text.count("lit again") == 60
+    assert "A note" not in a[2].text and "Other words" in a[2].text
+    assert [r.title for r in got["b"]][-3:] == ["第一章", "第二章", "第三章"]  # the contents name a third of the text only
+
+
+def test_pages_read_as_xml():
+    from vellum.kernels import html
+
+    page = '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title/></head><body><p>a<span class="x"/>b&nbsp;c</p><P>d</P></body></html>'
+    assert html.is_xml(page) and html.to_text(page) == "ab c" + "" or html.xml_tree(page) is not None
+    assert [n.name for n in html.tree(page).all()] == ["html", "head", "title", "body", "p", "span", "p"]
+    broken = page.replace("</span>", "").replace('<span class="x"/>', '<span class="x">')
+    assert html.xml_tree(broken) is None and "ab" in html.to_text(broken)
+    assert html.to_text('<html xmlns="x"><body><div epub:type="x">t</div></body></html>') == "t"  # a prefix that is not declared is no XML
+
+
+def test_structural_titles_agree_with_the_columns(spark):
+    from vellum.functions import predicates
+    from vellum.kernels import titles
+
+    given = ["第三章", "12", "Ⅳ.", "XIV", "序", "Prologue", "第十回 旧事", "3. Dawn", "Dawn", "", " ", "IV、夜", "附 录", "x" * 90, "第" + "一" * 30 + "章"]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    assert [r.s for r in df.select(predicates.structural_title("t").alias("s")).collect()] == [titles.structural(t) for t in given]

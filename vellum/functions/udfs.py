@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 
 from vellum.functions.arrow import arrow_udf
-from vellum.kernels import caps, chunker, html, numbers, sections, speech
+from vellum.kernels import caps, chunker, html, numbers, sections, speech, titles
 from vellum.schemas import CHUNK, SPAN
 
 
@@ -181,6 +181,26 @@ def page(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "title", "headings", "links", "note_ids", "note_targets"])
 
 
+PAGE_FACTS = "title string, links array<struct<href:string,label:string>>, note_ids array<string>, note_targets array<string>, hits array<struct<class:string,uses:int,hits:int>>"
+
+
+@arrow_udf(PAGE_FACTS, once=True)
+def page_facts(content: pd.Series) -> pd.DataFrame:
+    """What a page tells of its book: its title, links, notes, and how often its classes are on headings."""
+    out = []
+    for data in content:
+        notes, targets = html.note_ids(data)
+        hits = [{"class": c, "uses": n, "hits": k} for c, n, k in html.class_heading_hits(data, titles.structural)]
+        out.append((html.page_title(data), [{"href": h, "label": t} for h, t in html.links(data)], notes, targets, hits))
+    return pd.DataFrame(out, columns=["title", "links", "note_ids", "note_targets", "hits"])
+
+
+@arrow_udf("classes array<string>, ids array<string>", once=True)
+def style_markers(content: pd.Series) -> pd.DataFrame:
+    """Classes and ids of a style sheet that are named as headings are."""
+    return pd.DataFrame([html.css_markers(bytes(b) if b is not None else None) for b in content], columns=["classes", "ids"])
+
+
 @arrow_udf("string")
 def page_text(content: pd.Series, notes: pd.Series, targets: pd.Series) -> pd.Series:
     """The text of a page given its book's note ids."""
