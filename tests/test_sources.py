@@ -203,3 +203,20 @@ def test_structural_titles_agree_with_the_columns(spark):
     given = ["第三章", "12", "Ⅳ.", "XIV", "序", "Prologue", "第十回 旧事", "3. Dawn", "Dawn", "", " ", "IV、夜", "附 录", "x" * 90, "第" + "一" * 30 + "章"]
     df = spark.createDataFrame([(t,) for t in given], "t string")
     assert [r.s for r in df.select(predicates.structural_title("t").alias("s")).collect()] == [titles.structural(t) for t in given]
+
+
+def test_ingest_by_suffix_and_ordered_lines(spark, tmp_path):
+    import pytest
+
+    from vellum.operators import timeline
+    from vellum.plans import pipeline
+
+    (tmp_path / "one.txt").write_text("a\r\nb\n")
+    got = pipeline.ingest(spark, str(tmp_path / "one.txt")).first()
+    assert (got.title, got.chapter_index, got.text) == ("one", 1, "a\r\nb\n".replace("\r\n", "\n")) or got.text.startswith("a")
+    with pytest.raises(ValueError):
+        pipeline.ingest(spark, str(tmp_path / "one.pdf"))
+    segments = spark.createDataFrame([("b", i, f"{i:06d}.wav") for i in range(50, 0, -1)], "book_id string, n int, file string")
+    writers.lines(timeline.concat_rows(segments, ["book_id"], ["n"], "file"), str(tmp_path / "list"), ["book_id"], ["n"])
+    lines = [x for p in sorted((tmp_path / "list").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [f"file '{i:06d}.wav'" for i in range(1, 51)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vellum.functions.text import fold_quotes, spaced, strip
+from vellum.functions.text import compact, fold_quotes, spaced, strip
 
 # The words of kernels.caps: what Python's \w has besides digits and _ are letters, letter numbers and other numbers.
 WORD = r"[\p{L}\p{Nl}\p{No}](?:[\p{L}\p{Nl}\p{No}'’\-]|\u0300-\u036f)*"
@@ -99,7 +99,7 @@ def section_marks(lines: DataFrame, keys: list[str]) -> DataFrame:
     r = Window.partitionBy(*keys).orderBy("at")
     alone = (F.coalesce(F.lag("l").over(r), F.lit("")) == "") & (F.coalesce(F.lead("l").over(r), F.lit("")) == "")
     marks = runs.withColumn("_alone", alone).where(symbol_line("l")).groupBy(*keys, F.col("l").alias("mark")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_alone"), F.col("n")).otherwise(0)).alias("isolated"))
-    glyphs = lambda c: F.split(F.regexp_replace(c, r"\s", ""), "")
+    glyphs = lambda c: F.split(compact(c), "")
     inside = x.where((F.col("l") != "") & ~symbol_line("l")).select(*keys, F.explode(glyphs("l")).alias("g")).where("g <> ''").groupBy(*keys, "g").agg(F.count("*").alias("inside"))
     sizes = marks.select(*keys, "mark", "n", "isolated", F.posexplode(F.filter(glyphs("mark"), lambda g: g != "")).alias("_p", "g"))
     judged = sizes.join(inside, [*keys, "g"], "left").groupBy(*keys, "mark", "n", "isolated").agg(F.count("*").alias("size"), F.sum(F.coalesce("inside", F.lit(0))).alias("within"))

@@ -19,14 +19,21 @@ def metadata_escape(c: Column) -> Column:
     return re(c, r"([\\=;#\n])", r"\\$1")
 
 
-def metadata_text(df: DataFrame, keys: list[str], order: list[str], title: str, duration: str, tags: str | None = None) -> DataFrame:
-    """The chapter metadata of each book as one text: tags, then the chapters in order; titles are escaped."""
-    t = timeline(df, keys, order, duration)
+def metadata_rows(df: DataFrame, keys: list[str], order: list[str], title: str, duration: str) -> DataFrame:
+    """The timeline with the metadata entry of each chapter as ``text``; titles are escaped."""
     one = F.concat(
         F.lit("\n[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms").cast("string"), F.lit("\nEND="), F.col("end_ms").cast("string"), F.lit("\ntitle="),
         metadata_escape(F.coalesce(F.col(title), F.lit(""))), F.lit("\n"),
     )
-    chapters = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_ms", one.alias("text")))).alias("chapters"), *([F.first(tags).alias("tags")] if tags else []))
+    return timeline(df, keys, order, duration).withColumn("text", one)
+
+
+def metadata_text(df: DataFrame, keys: list[str], order: list[str], title: str, duration: str, tags: str | None = None) -> DataFrame:
+    """The chapter metadata of each book as one text: tags, then the chapters in order; titles are escaped.
+
+    It is one value, so for books below 2 GB of chapter entries; ``metadata_rows`` has no such bound."""
+    t = metadata_rows(df, keys, order, title, duration)
+    chapters = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_ms", "text"))).alias("chapters"), *([F.first(tags).alias("tags")] if tags else []))
     head = F.lit(";FFMETADATA1\n")
     if tags:
         lines = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), metadata_escape(e["value"]), F.lit("\n")))
@@ -34,8 +41,13 @@ def metadata_text(df: DataFrame, keys: list[str], order: list[str], title: str,
     return chapters.select(*keys, F.concat(head, F.array_join(F.transform("chapters", lambda x: x["text"]), "")).alias("metadata"))
 
 
+def concat_rows(df: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
+    """``keys, order, line``: the list of segment files as rows, for books of any size (``writers.lines`` writes them in order)."""
+    return df.select(*keys, *order, F.concat(F.lit("file '"), F.col(path), F.lit("'")).alias("line"))
+
+
 def concat_list(df: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
-    """The list of segment files of each part, one line a file in order."""
+    """The list of segment files of each part as one text, one line a file in order. It is one value, so for books below 2 GB of lines; ``concat_rows`` has no such bound."""
     lines = F.sort_array(F.collect_list(F.struct(*order, F.concat(F.lit("file '"), F.col(path), F.lit("'\n")).alias("line"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("concat"))
 

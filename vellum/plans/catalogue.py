@@ -276,12 +276,6 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("row_id").agg(F.count("*").alias("lines"), one(predicates.capitals("line")).alias("capitals"), one(predicates.symbol_line("line")).alias("symbols"))
 
 
-@query()
-def section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = raw(spark, sf_dir).where("text IS NOT NULL").select("row_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return headings.section_marks(lines, ["row_id"])
-
-
 LOW, UP = "\\p{Ll}ªº\\x{2B0}-\\x{2B8}\\x{2C0}\\x{2C1}\\x{2E0}-\\x{2E4}\\x{2170}-\\x{217F}", "\\p{Lu}\\x{2160}-\\x{216F}"
 
 
@@ -368,12 +362,6 @@ def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.chunk_table(clean)
 
 
-@query()
-def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = spread(table(spark, sf_dir, "chapter_inputs").where("text IS NOT NULL").select("row_id", "text"), "row_id").select("row_id", F.posexplode(udfs.sentence_spans("text")).alias("idx", "s"))
-    return spans.select("row_id", "idx", "s.start", "s.end")
-
-
 @query()
 def repaired_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spread(raw(spark, sf_dir).where("text IS NOT NULL").select("row_id", "text", "title", "headings"), "row_id")
@@ -562,4 +550,4 @@ def speech_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("vec_id", F.round("s.active_db", 6).alias("active_db"), F.round("s.peak_db", 6).alias("peak_db"), F.round(gain, 6).alias("gain_db"), kept.alias("kept"))
 
 
-from vellum.plans import rows  # noqa: E402, F401  more queries, by the same decorator
+from vellum.plans import folds, rows  # noqa: E402, F401  more queries, by the same decorator

@@ -68,6 +68,19 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
     return chapters.reindexed(merged.join(categories, ["book_id", "spine_pos"], "left"), keys, ["spine_pos"]).select("book_id", "chapter_index", "title", "href", "source", "text", "headings", "heading_categories")
 
 
+def ingest(spark: SparkSession, path: str) -> DataFrame:
+    """Books from files by their suffix: EPUB files by ``ingested``, text files as a chapter each; any other suffix is an error."""
+    suffix = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+    if suffix == "epub":
+        return ingested(spark, path)
+    if suffix != "txt":
+        raise ValueError(f"neither an EPUB nor a text file: {path}")
+    none = F.array().cast("array<string>")
+    return readers.texts(spark, path).select(
+        F.col("path").alias("book_id"), F.lit(1).alias("chapter_index"), F.col("title"), F.col("path").alias("href"), F.col("path").alias("source"), "text", none.alias("headings"), F.create_map().cast("map<string,string>").alias("heading_categories")
+    )
+
+
 def latest_delivery(raw: DataFrame) -> DataFrame:
     """One row a chapter: the delivery created last, of equals the greatest row id."""
     last = F.max_by("row_id", F.struct(F.col("created_unix").isNotNull(), "created_unix", "row_id"))

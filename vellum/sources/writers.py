@@ -10,6 +10,11 @@ def table(df: DataFrame, path: str, overwrite: bool = False, by: str = "book_id"
     df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy(by).parquet(path)
 
 
+def lines(df: DataFrame, path: str, keys: list[str], order: list[str], line: str = "line") -> None:
+    """Texts of one line a row, in files whose names and contents follow the order; a book of any size spreads over many of them."""
+    df.repartitionByRange(*(F.col(c) for c in (*keys, *order))).sortWithinPartitions(*keys, *order).select(F.col(line).alias("value")).write.mode("overwrite").text(path)
+
+
 def append_json_lines(df: DataFrame, path: str) -> None:
     """One JSON object a line, appended; an empty table writes nothing."""
     if not df.isEmpty():
