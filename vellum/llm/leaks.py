@@ -32,7 +32,7 @@ from vellum.session import spread, written
 
 SKETCH = 128
 #: Bits of the filter for each value, and how many it has at most (32 MB), in powers of two.
-SPARSE, MOST_BITS = 4, 28
+SPARSE, MOST_BITS = 9, 28
 #: Bytes of the filter that are put together in one task.
 BLOCK = 1 << 16
 SALTS = 8
