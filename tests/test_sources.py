@@ -220,3 +220,26 @@ def test_ingest_by_suffix_and_ordered_lines(spark, tmp_path):
     writers.lines(timeline.concat_rows(segments, ["book_id"], ["n"], "file"), str(tmp_path / "list"), ["book_id"], ["n"])
     lines = [x for p in sorted((tmp_path / "list").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines == [f"file '{i:06d}.wav'" for i in range(1, 51)]
+
+
+def test_voices_and_sound_files(spark, tmp_path):
+    from vellum.functions import audio
+    from vellum.operators import manifest
+
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "ann.json").write_text('{"name": "Ann.wav", "ref_audio": "ann.wav", "ref_text": " hi ", "language": "English", "gender": "Female"}')
+    (tmp_path / "v" / "bob.json").write_text('{"ref_audio": "/x/bob.wav", "language": "xx"}')
+    (tmp_path / "v" / "cid.json").write_text("oops")
+    got = {r.name: r for r in readers.voices(spark, str(tmp_path / "v")).collect()}
+    assert got["Ann"].ref_audio.endswith("/v/ann.wav") and (got["Ann"].ref_text, got["Ann"].language, got["Ann"].gender, got["Ann"].problem) == ("hi", "en", "female", None)
+    assert (got["bob"].ref_audio, got["bob"].problem) == ("/x/bob.wav", "no_text") and got["cid"].problem == "no_audio"
+    writers.voices(readers.voices(spark, str(tmp_path / "v")), str(tmp_path / "out"))
+    assert '"language":"en"' in next((tmp_path / "out" / "voice=Ann").glob("part-*")).read_text()
+
+    df = spark.createDataFrame([(1, [0.0, 0.5, -2.0]), (2, None)], "id int, s array<float>")
+    wav = {r.id: r.w for r in df.select("id", audio.sound_file("s", F.lit(1000)).alias("w")).collect()}
+    assert readers.probe(bytes(wav[1])) == (True, 3) and wav[2] is None
+    chunks = spark.createDataFrame([("c", 1, False, 0, 10), ("c", 2, True, 1, 20), ("c", 3, False, 5, 30), ("c", 4, False, 0, 40)], "chapter_id string, chunk_idx int, section_break boolean, pause_multiplier int, duration_ms long")
+    chosen = spark.createDataFrame([("c", 1), ("c", 2), ("c", 3)], "chapter_id string, chunk_idx int")
+    again = manifest.regenerated(chunks, chosen, ["chapter_id", "chunk_idx"]).orderBy("chunk_idx").collect()
+    assert [(r.pause_multiplier, r.duration_ms) for r in again] == [(1, None), (3, None), (5, None), (0, 40)]

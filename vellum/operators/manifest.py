@@ -84,6 +84,18 @@ def next_actions(chunks: DataFrame) -> DataFrame:
     return x.withColumns({"action": synth_action("text", "has_wav", "_run", "has_voice"), "silence_ms": ellipsis_pause("_run"), "pad_ms": F.coalesce("pause_multiplier", F.lit(1)) * PAD_MS}).drop("_run")
 
 
+def regenerated(chunks: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks of which those chosen (keys) are made again: they have no duration any more, and pause at least as long as a manifest of old has it.
+
+    ``chunks`` has section_break, pause_multiplier and duration_ms. A pause of 0 within a sentence thus becomes 1 in a chunk that is made again."""
+    x = chunks.join(chosen.select(*keys).distinct().withColumn("_again", F.lit(True)), keys, "left")
+    legacy = F.when(F.coalesce("section_break", F.lit(False)), SECTION_PAUSE).otherwise(1)
+    return x.withColumns({
+        "pause_multiplier": F.when(F.col("_again"), F.greatest("pause_multiplier", legacy)).otherwise(F.col("pause_multiplier")),
+        "duration_ms": F.when(F.col("_again").isNull(), F.col("duration_ms")),
+    }).drop("_again")
+
+
 def reset_sample(chunks: DataFrame, keys: list[str], chapter: str) -> DataFrame:
     """The first chapter of each book with its durations cleared, for a sample."""
     first = chunks.groupBy(*keys).agg(F.min(chapter).alias(chapter))

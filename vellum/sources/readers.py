@@ -83,6 +83,22 @@ def epub_books(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, f"path string, {schemas.BOOK_META}, contents array<struct<pos:int,title:string,href:string>>")
 
 
+VOICE_FILE = "name string, ref_audio string, ref_text string, language string, gender string"
+
+
+def voices(spark: SparkSession, path: str) -> DataFrame:
+    """Voice files, one JSON object each: (path, name, ref_audio, ref_text, language, gender, problem).
+
+    A relative sound file stands beside its voice file. ``problem`` tells why a voice cannot be used: no sound file, or none of the text spoken in it."""
+    from vellum.functions.fields import gender, language, voice_name
+
+    raw = spark.read.schema(VOICE_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("path", F.input_file_name())
+    audio = F.when(F.col("ref_audio").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), F.col("ref_audio")).otherwise(F.concat(re("path", "[^/]*$", ""), "ref_audio"))
+    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
+    problem = F.when(blank("ref_audio"), "no_audio").when(blank("ref_text"), "no_text")
+    return raw.select("path", voice_name("name", "path").alias("name"), F.when(~blank("ref_audio"), audio).alias("ref_audio"), strip("ref_text").alias("ref_text"), language("language").alias("language"), gender("gender").alias("gender"), problem.alias("problem"))
+
+
 def probe(data: bytes) -> tuple[bool, int]:
     """(whether it is a mono sound file with any frame, its milliseconds)."""
     try:

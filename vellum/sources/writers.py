@@ -26,6 +26,12 @@ def json_documents(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def voices(df: DataFrame, path: str) -> None:
+    """Voices as JSON texts, one folder a voice; fields that are null are left out."""
+    text = F.to_json(F.struct("name", "ref_audio", "ref_text", "language", "gender"))
+    df.select(F.col("name").alias("voice"), text.alias("value")).write.mode("overwrite").partitionBy("voice").text(path)
+
+
 def chunk_files(chunks: DataFrame, path: str, overwrite: bool = True) -> None:
     """Chunk texts by chapter, in order."""
     rows = chunks.select("chapter_id", F.format_string("%06d", "chunk_idx").alias("file"), "text")
