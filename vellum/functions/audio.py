@@ -67,7 +67,7 @@ def sample_rate(*given: C) -> Column:
 
 
 def otsu(values: np.ndarray, bins: int = 256) -> float:
-    """The threshold that parts values into two classes best; -40 without values, the value itself when they are all one."""
+    """The threshold that parts values into two classes best, the lowest of equals; -40 without values, the value itself when they are all one."""
     if not len(values):
         return QUIET_DB
     low, high = float(values.min()), float(values.max())
@@ -80,7 +80,8 @@ def otsu(values: np.ndarray, bins: int = 256) -> float:
     mass = np.cumsum(counts * centres)
     with np.errstate(divide="ignore", invalid="ignore"):
         between = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
-    return float(centres[int(np.nanargmax(np.where((below > 0) & (above > 0), between, -1.0)))])
+    between = np.where((below > 0) & (above > 0), between, -1.0)
+    return float(centres[int(np.argmax(between >= between.max() * (1 - 1e-9)))])
 
 
 def active_level(samples: np.ndarray, rate: int) -> tuple[float, float]:

@@ -71,11 +71,12 @@ _POWER = "list_sum(list_transform(w, lambda v: v::DOUBLE * v::DOUBLE)) / len(w)"
 @query(
     "WITH f AS (SELECT vec_id, embedding AS e, list_transform(range(0, len(embedding) - 15, 8), lambda s: list_slice(embedding, s + 1, s + 16)) AS ws FROM embeddings), "
     f"p AS (SELECT vec_id, e, list_transform(ws, lambda w: {_POWER}) AS p, list_transform(ws, lambda w: least(0.0, greatest(-90.0, 10 * log10({_POWER} + 1e-12)))) AS l FROM f), "
-    "b AS (SELECT *, list_min(l) AS low, list_max(l) AS high FROM p), c AS (SELECT *, list_transform(l, lambda x: least(255, floor((x - low) / (high - low) * 256)::INTEGER)) AS bin FROM b), "
-    "k AS (SELECT *, list_transform(range(256), lambda i: low + (high - low) * (i + 0.5::DOUBLE) / 256) AS mid FROM c), "
+    "b AS (SELECT *, list_min(l) AS low, list_max(l) AS high FROM p), d AS (SELECT *, list_transform(range(257), lambda i: low + i * ((high - low) / 256)) AS edge, list_transform(l, lambda x: least(255, floor((x - low) * (256 / (high - low)))::INTEGER)) AS rough FROM b), "
+    "c AS (SELECT *, list_transform(list_zip(l, rough), lambda x: CASE WHEN x[1] < edge[x[2] + 1] THEN x[2] - 1 WHEN x[2] < 255 AND x[1] >= edge[x[2] + 2] THEN x[2] + 1 ELSE x[2] END) AS bin FROM d), "
+    "k AS (SELECT *, list_transform(range(256), lambda i: (edge[i + 1] + edge[i + 2]) / 2) AS mid FROM c), "
     "q AS (SELECT vec_id, e, p, l, mid, list_transform(range(256), lambda t: {'t': t, 'n': len(list_filter(bin, lambda x: x <= t)), 'm': coalesce(list_sum(list_transform(list_filter(bin, lambda x: x <= t), lambda x: mid[x + 1])), 0), 'a': list_sum(list_transform(bin, lambda x: mid[x + 1]))}) AS z FROM k), "
     "o AS (SELECT *, list_transform(z, lambda s: CASE WHEN s.n > 0 AND s.n < len(l) THEN s.n * (len(l) - s.n) * pow(s.m / s.n - (s.a - s.m) / (len(l) - s.n), 2) ELSE -1 END) AS v FROM q), "
-    "h AS (SELECT *, mid[list_position(v, list_max(v))] AS threshold FROM o), s AS (SELECT vec_id, e, list_transform(list_filter(list_zip(p, l), lambda x: x[2] >= threshold), lambda x: x[1]) AS kept FROM h) "
+    "h AS (SELECT *, mid[list_position(list_transform(v, lambda y: y >= list_max(v) * (1 - 1e-9)), true)] AS threshold FROM o), s AS (SELECT vec_id, e, list_transform(list_filter(list_zip(p, l), lambda x: x[2] >= threshold), lambda x: x[1]) AS kept FROM h) "
     "SELECT vec_id, round(10 * log10(list_sum(kept) / len(kept) + 1e-12), 4) AS active_db, round(20 * log10(list_max(list_transform(e, lambda v: abs(v::DOUBLE))) + 1e-12), 4) AS peak_db FROM s"
 )
 def active_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
