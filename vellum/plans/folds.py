@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.functions import audio, udfs
 from vellum.operators import headings
-from vellum.plans.catalogue import RATE, WS, query, raw, sql_strip
-from vellum.plans.rows import ZH
+from vellum.plans.catalogue import RATE, WS, ZH, query, raw, sql_strip
 from vellum.session import spread, table
 
 ENDS, SHUT, MIDDLE = "。！？?!…", "」』）】］〉》”’\"''", "、，,;；:："

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vellum.functions import audio, fields, predicates, text
 from vellum.operators import chapters, cleaning, headings, lookups, manifest, progress, timeline
 from vellum.plans import pipeline
-from vellum.plans.catalogue import CHAPTER_MS, DOTS, HOURS, LATEST, NUM, RATE, ROMAN, SEGMENTS, TERMS, UNIT, WS, query, raw, segments, sql_fold, sql_spaced, sql_strip
-from vellum.session import spread, table
+from vellum.plans.catalogue import CHAPTER_MS, DOTS, HAN, HOURS, LATEST, NUM, RATE, ROMAN, SEGMENTS, TERMS, UNIT, WS, ZH, query, raw, segments, sql_spaced, sql_strip
+from vellum.session import table
 
-HAN = "\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{2CEB0}-\\x{2EBEF}\\x{30000}-\\x{3134F}"
-ZH = HAN + "\\x{3005}"
 CLOSING = "[」』）】\\]〉》”’\"'']"
 LINES = "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda v: " + sql_strip("v") + "), lambda v: v <> '')"
 
@@ -255,7 +253,7 @@ def third_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH t AS (SELECT row_id, prepared AS x FROM tts_pipeline WHERE prepared IS NOT NULL), q AS (SELECT row_id, x, position('“' IN x) AS a, position('”' IN x) AS b FROM t) "
-    "SELECT row_id, s AS start, CASE WHEN a > 0 AND b > a AND a - 1 <= s AND s + 2 <= b THEN a - 1 END AS quote_start FROM (SELECT *, unnest(range(0, 60, 2))::INTEGER AS s FROM q)"
+    "SELECT row_id, s AS start, CASE WHEN a > 0 AND b > a AND a - 1 <= s AND s + 2 <= b THEN (a - 1)::INTEGER END AS quote_start FROM (SELECT *, unnest(range(0, 60, 2))::INTEGER AS s FROM q)"
 )
 def enclosing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For spans of two characters over the head of each text its first quotation, where that is around them."""
